@@ -181,7 +181,7 @@ w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS t
 {shares}, {", ".join(steps)},
 o AS (SELECT *, weight / tokens AS ratio, coalesce(sum(tokens) OVER (ORDER BY weight / tokens DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
     sum(weight) OVER (ORDER BY weight / tokens DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {last} WHERE tokens > 0),
-c AS (SELECT min(({BUDGET} * (SELECT sum(tokens) FROM w0) - ahead) / rest) AS c FROM o WHERE ({BUDGET} * (SELECT sum(tokens) FROM w0) - ahead) / rest * ratio <= 1),
+c AS (SELECT max(({BUDGET} * (SELECT sum(tokens) FROM w0) - ahead) / rest) AS c FROM o WHERE ({BUDGET} * (SELECT sum(tokens) FROM w0) - ahead) / rest * ratio <= 1),
 p AS (SELECT source, lang, topic, least(1.0, c * ratio) AS p FROM o, c)
 SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(p.p, 6) AS probability
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic
