@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of at most this many rows of a few longs may be broadcast; beyond it a shuffled join runs.
@@ -80,5 +80,21 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n_left: int, sp
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
+def bounded_sample(ids: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows (key, doc_id, ...) of each value of ``key``, by a hash of doc_id.
+
+    Rows that can hardly be among the n are left out by their hash before any shuffle, so that what meets in the task of
+    a value is about 1.5 n rows, at any size of the input. ``key`` must have few values, such as labels or languages.
+    """
+    counts = {r[key]: r["c"] for r in ids.groupBy(key).agg(F.count(F.lit(1)).alias("c")).collect()}
+    if not counts:
+        return ids
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for v, c in counts.items() for x in (v, min(1.0, (1.5 * n + 100) / c))])[F.col(key)]
+    near = ids.where(place < share * F.lit(float(1 << 30)))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(place, "doc_id"))
+    return near.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))

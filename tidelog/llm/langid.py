@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import bounded_sample, ship, text_of
 from .tokens import BASE, U64, Tokens, char_tables, chunks, mix, tokenize
 
 #: The bound of the sample that the model is fitted on: documents a language, taken by a hash of their ids.
@@ -191,8 +191,7 @@ def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on at most ``per_language`` documents of each language, none of the held-out fold."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = learn.select("doc_id", "lang").withColumn("_r", rank).where(F.col("_r") <= per_language).select("doc_id").distinct()
+    chosen = bounded_sample(learn.select("doc_id", "lang"), "lang", per_language).select("doc_id").distinct()
     rows = learn.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").collect()  # per_language x languages
     return fit([(r.text, r.lang) for r in rows])
 

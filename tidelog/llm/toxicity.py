@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import bounded_sample, ship, text_of
 from .tokens import BASE, U64, Tokens, chunks, mix, tokenize
 
 #: The bound of the sample that the network learns from: documents of each label, taken by a hash of their ids.
@@ -332,8 +332,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL
     """At most per_label documents of each label, none of the held-out fold; the ids are chosen from labels alone."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id")))
-    chosen = known.withColumn("_r", rank).where(F.col("_r") <= per_label).select("doc_id", "toxic")
+    chosen = bounded_sample(known, "toxic", per_label).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     return sorted((r.text, r.toxic) for r in rows.collect())
 
