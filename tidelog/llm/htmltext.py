@@ -1,12 +1,12 @@
 """HTML extraction by site template removal.
 
 Every page is parsed to a flat list of elements. The subtree of each block element is hashed (its tags and its text), the
-hashes are counted per host in Spark, one count a page, and subtrees that recur on many pages of a host are site template:
-they are deleted before the text is taken. What the page itself declares to be no content (scripts, styles, navigation,
+hashes are counted per host in Spark, once for each content (copies of an article count as one page), and subtrees that
+recur on many pages of a host are site template: they are deleted before the text is taken. What the page itself declares to be no content (scripts, styles, navigation,
 headers, footers, asides, forms, adverts, notices, comments, by tag, role, class or id) is deleted too, so that the pages
 of a host with few pages are served as well.
 
-An element inside the main article that holds prose is never template: copies of an article on many pages of its host, or
+A paragraph, heading, list item or table inside the main article, or whatever holds prose there, is never template: copies of an article on many pages of its host, or
 a passage that many articles quote, stay whole. The text is that of the ``article`` (or ``main``) elements if there are
 any, else of the body. Character references are decoded, white space within a block becomes one space, blocks are joined
 in page order by one space.
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_hot, ship
+from .common import BROADCAST_ROWS, join_hot, materialize, ship
 
 #: HTML element names by their role in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,7 +52,9 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\
 ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f\v\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x85\x1c-\x1f]+")
 
-#: A subtree is template if it is on at least this many pages, and on at least this share of the pages of its host.
+#: Within the article these hold its words, however short and often repeated.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr table tbody thead caption figure address".split())
+#: A subtree is template if it is on at least this many pages of different content, and on at least this share of those of its host.
 MIN_PAGES = 3
 MIN_SHARE = 0.2
 #: Within the article, more words than this are prose.
@@ -177,10 +179,21 @@ def articles(root: Element) -> list[Element]:
     return found["article"] or found["main"] or [root]
 
 
-def candidates(page: str | None) -> set[int]:
-    """Hashes, as signed longs, of the block subtrees of a page that may be template."""
+def signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def removable(node: Element, inside: bool) -> bool:
+    """May this subtree be template? inside: it lies in an article."""
+    if node.inline or not node.children or node.tag in ("#root", "html", "body", "article", "main"):
+        return False
+    return not (inside and (node.prose or node.tag in TEXT))
+
+
+def candidates(page: str | None) -> tuple[set[int], int]:
+    """Hashes, as signed longs, of the block subtrees of a page that may be template, and the hash of its content."""
     if not page:
-        return set()
+        return set(), 0
     root = parse(page)
     digest(root)
     content = articles(root)
@@ -192,10 +205,10 @@ def candidates(page: str | None) -> set[int]:
         if node.drop:
             continue
         inside = inside or (not whole and any(node is c for c in content))
-        if node.children and node.tag not in ("#root", "html", "body", "article", "main") and not node.inline and not (inside and node.prose):
-            out.add(node.digest - (1 << 64) if node.digest >> 63 else node.digest)
+        if removable(node, inside):
+            out.add(signed(node.digest))
         todo.extend((c, inside) for c in node.children if not isinstance(c, str))
-    return out
+    return out, signed(content[0].digest)
 
 
 def main_text(page: str | None, template=frozenset()) -> str:
@@ -206,7 +219,7 @@ def main_text(page: str | None, template=frozenset()) -> str:
     if len(template):
         digest(root)
     content = articles(root)
-    whole = content[0] is root
+    inside = content[0] is not root
     pieces: list[str] = []
     todo: list = list(reversed(content))
     while todo:
@@ -214,11 +227,8 @@ def main_text(page: str | None, template=frozenset()) -> str:
         if isinstance(node, str):
             pieces.append(node)
             continue
-        if node.drop:
+        if node.drop or (len(template) and removable(node, inside) and signed(node.digest) in template):
             continue
-        if len(template) and not node.inline and node.children and node.tag not in ("#root", "html", "body", "article", "main") and (whole or not node.prose):
-            if (node.digest - (1 << 64) if node.digest >> 63 else node.digest) in template:
-                continue
         if not node.inline:
             pieces.append(" ")
             todo.append(" ")
@@ -228,17 +238,21 @@ def main_text(page: str | None, template=frozenset()) -> str:
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        hashes = [candidates(h) for h in pdf["html"]]
-        yield pd.DataFrame({"host": pdf["host"].repeat([len(h) for h in hashes]).values, "subtree": pd.Series([x for h in hashes for x in h], dtype="int64")})
+        found = [candidates(h) for h in pdf["html"]]
+        # subtree 0 with every page, so that contents without candidates count
+        rows = [(host, x, c) for host, (hashes, c) in zip(pdf["host"], found, strict=True) for x in (0, *hashes)]
+        yield pd.DataFrame(rows, columns=["host", "subtree", "content"]).astype({"subtree": "int64", "content": "int64"})
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree): hashes of subtrees on at least min_pages pages and min_share of the pages of their host."""
+    """(host, subtree): hashes of subtrees with at least min_pages contents and min_share of the contents of their host."""
     ship(pages.sparkSession)
-    seen = pages.select("host", "html").mapInPandas(_count_batches, "host string, subtree long")
-    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    seen = pages.select("host", "html").mapInPandas(_count_batches, "host string, subtree long, content long")
+    # a content's hashes are dealt by all three columns, and a subtree's by two, each after partial aggregation
+    counts = seen.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    counts = materialize(counts, "subtrees")
+    totals = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
+    return counts.where("subtree <> 0").join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
 
 
 def with_host(pages: DataFrame) -> DataFrame:
