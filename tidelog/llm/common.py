@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: A side of at most this many rows of a few longs may be broadcast; beyond it a shuffled join runs.
 BROADCAST_ROWS = 200_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["BROADCAST_ROWS", "bounded_sample", "hot_keys", "join_hot", "materialize", "remove_path", "scratch_path", "shared_dir", "ship", "table", "text_of"]
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidelog_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="tidelog-"), "tidelog.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(Path(root.name) / p.relative_to(root)))
-    sc.addPyFile(target)
-    sc._tidelog_shipped = True
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
