@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, langid, mixing, neardup, sharding
-from tidelog.llm.common import scratch_path, table
+from tidelog.llm.common import fresh, scratch_path, table
 
 #: Documents whose best language labels less than this share of their letters are rejected, as are those without letters.
 LEAST_LANGUAGE_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = langid.identify(docs, langid.train(docs))
-    return out.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred", "lang_score")
+    out = langid.identify(docs, langid.train(docs), (lang, score))
+    return out.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs, out=tuple(fresh(docs.columns, "mix_topic", "mix_tokens", "probability"))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

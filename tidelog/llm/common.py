@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from ..ship import ship
 BROADCAST_ROWS = 200_000
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_sample", "hot_keys", "join_hot", "materialize", "remove_path", "scratch_path", "shared_dir", "ship", "table", "text_of"]
+__all__ = ["BROADCAST_ROWS", "bounded_sample", "fresh", "hot_keys", "join_hot", "materialize", "remove_path", "scratch_path", "shared_dir", "ship", "table", "text_of", "texts_in"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,5 +85,21 @@ def bounded_sample(ids: DataFrame, key: str, n: int) -> DataFrame:
     return near.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added where the columns already have them: for columns that must not hide others."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def texts_in(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """A column's strings, null as ''."""
+    return ["" if t is None else t for t in batch.column(column).to_pylist()]
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))

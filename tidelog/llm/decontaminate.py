@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import BROADCAST_ROWS, fresh, materialize, text_of
 
 WINDOW = 13
 #: Words whose hash is tried first.
@@ -95,9 +95,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, whole and with all their columns."""
-    bad = decontaminate(docs.select("text", F.xxhash64(*docs.columns).alias("_k1"), F.xxhash64(F.lit(7), *docs.columns).alias("_k2")), benchmark).where("contaminated")
-    keyed = docs.withColumn("_k1", F.xxhash64(*docs.columns)).withColumn("_k2", F.xxhash64(F.lit(7), *docs.columns))
-    return keyed.join(bad.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    k1, k2 = fresh([*docs.columns, "row_id"], "k1", "k2")
+    keys = F.xxhash64(*docs.columns).alias(k1), F.xxhash64(F.lit(7), *docs.columns).alias(k2)  # 128 bits name a row
+    bad = materialize(decontaminate(docs.select("text", *keys), benchmark).where("contaminated").select(k1, k2).distinct(), "contaminated")
+    small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.select("*", *keys).join(F.broadcast(bad) if small else bad, [k1, k2], "left_anti").select(*docs.columns)
 
 
 REPORT_SQL = r"""

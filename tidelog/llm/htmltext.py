@@ -25,7 +25,7 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,18 +236,25 @@ def main_text(page: str | None, template=frozenset()) -> str:
     return SPACE.sub(" ", "".join(pieces)).strip()
 
 
-def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found = [candidates(h) for h in pdf["html"]]
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [candidates(h) for h in batch.column("html").to_pylist()]
         # subtree 0 with every page, so that contents without candidates count
-        rows = [(host, x, c) for host, (hashes, c) in zip(pdf["host"], found, strict=True) for x in (0, *hashes)]
-        yield pd.DataFrame(rows, columns=["host", "subtree", "content"]).astype({"subtree": "int64", "content": "int64"})
+        rows = [(host, x, c) for host, (hashes, c) in zip(batch.column("host").to_pylist(), found, strict=True) for x in (0, *hashes)]
+        host, subtree, content = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(subtree, pa.int64()), pa.array(content, pa.int64())], names=["host", "subtree", "content"])
+
+
+def _extracted(batch: pa.RecordBatch, templates: list) -> pa.RecordBatch:
+    texts = [main_text(h, t) for h, t in zip(batch.column("html").to_pylist(), templates, strict=True)]
+    columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, subtree): hashes of subtrees with at least min_pages contents and min_share of the contents of their host."""
     ship(pages.sparkSession)
-    seen = pages.select("host", "html").mapInPandas(_count_batches, "host string, subtree long, content long")
+    seen = pages.select("host", "html").mapInArrow(_count_batches, "host string, subtree long, content long")
     # a content's hashes are dealt by all three columns, and a subtree's by two, each after partial aggregation
     counts = seen.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     counts = materialize(counts, "subtrees")
@@ -272,19 +279,17 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
             by_host.setdefault(host, set()).add(subtree)
         known = pages.sparkSession.sparkContext.broadcast(by_host)
 
-        def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                texts = [main_text(h, known.value.get(host, ())) for h, host in zip(pdf["html"], pdf["host"], strict=True)]
-                yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _extracted(batch, [known.value.get(host, ()) for host in batch.column("host").to_pylist()])
 
         rows = pages
     else:
         sets = subtrees.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))  # a host has at most its mean subtrees a page / min_share
         rows = join_hot(pages, sets, ["host"], pages.count(), F.xxhash64("page_id", "url"))
 
-        def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                texts = [main_text(h, set(() if s is None else s)) for h, s in zip(pdf["html"], pdf["subtrees"], strict=True)]
-                yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _extracted(batch, [frozenset(s or ()) for s in batch.column("subtrees").to_pylist()])
 
-    return rows.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

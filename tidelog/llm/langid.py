@@ -16,11 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship, text_of
+from .common import bounded_sample, ship, text_of, texts_in
 from .tokens import BASE, U64, Tokens, char_tables, chunks, mix, tokenize
 
 #: The bound of the sample that the model is fitted on: documents a language, taken by a hash of their ids.
@@ -196,18 +196,20 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     return fit([(r.text, r.lang) for r in rows])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with all their columns, and lang_pred, lang_score."""
+def identify(docs: DataFrame, model: Model, out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with all their columns, and the predicted language and its score by the names in ``out``, which must be new."""
     ship(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
+    schema = docs.select("*", F.lit("").alias(out[0]), F.lit(0.0).alias(out[1])).schema
+    at = docs.columns.index("text")
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lang, score = predict(known.value, ["" if t is None else t for t in pdf["text"]])
-            yield pdf.assign(lang_pred=lang, lang_score=score)
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = predict(known.value, texts_in(batch, at))
+            columns = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *out])
 
-    return docs.mapInPandas(label, schema)
+    return docs.mapInArrow(label, schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

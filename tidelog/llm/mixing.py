@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import fresh, materialize, text_of
 
 AXES = ("source", "lang", "topic")
 ROUNDS = 25
@@ -145,20 +145,21 @@ def draw(seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def mix_sources(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic: Column | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """The sampled documents with all their columns, and topic, tokens and probability (its inverse is the document's weight in estimates)."""
+def mix_sources(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic: Column | None = None, rounds: int = ROUNDS, seed: str = SEED, out: tuple[str, str, str] = ("mix_topic", "mix_tokens", "probability")) -> DataFrame:
+    """The sampled documents with all their columns, and by the names in ``out`` topic, tokens and probability (its inverse is the document's weight in estimates)."""
     topic = topic_of(text_of()) if topic is None else topic
-    rows = docs.withColumn("_topic", topic).withColumn("_tokens", tokens_of(text_of()))
-    cells = probabilities(rows.select("source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens")), targets, budget, rounds)
-    cells = cells.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("probability").alias("_p"))
+    s, l, t, p, own, tokens = fresh(docs.columns, "_source", "_lang", "_cell", "_share", "_topic", "_tokens")
+    rows = docs.withColumn(own, topic).withColumn(tokens, tokens_of(text_of()))
+    cells = probabilities(rows.select("source", "lang", F.col(own).alias("topic"), F.col(tokens).alias("tokens")), targets, budget, rounds)
+    cells = cells.select(F.col("source").alias(s), F.col("lang").alias(l), F.col("topic").alias(t), F.col("probability").alias(p))
     small = cells.limit(MOST_CELLS + 1).count() <= MOST_CELLS
-    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")) & F.col("_topic").eqNullSafe(F.col("_t"))
-    out = rows.join(F.broadcast(cells) if small else cells, same).where(draw(seed) < F.col("_p"))
-    return out.select(*docs.columns, F.col("_topic").alias("mix_topic"), F.col("_tokens").alias("mix_tokens"), F.col("_p").alias("probability"))
+    same = F.col("source").eqNullSafe(F.col(s)) & F.col("lang").eqNullSafe(F.col(l)) & F.col(own).eqNullSafe(F.col(t))
+    kept = rows.join(F.broadcast(cells) if small else cells, same).where(draw(seed) < F.col(p))
+    return kept.select(*docs.columns, F.col(own).alias(out[0]), F.col(tokens).alias(out[1]), F.col(p).alias(out[2]))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    out = mix_sources(docs)
+    out = mix_sources(docs.select("doc_id", "text", "source", "lang"))
     return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("probability", 6).alias("probability"))
 
 

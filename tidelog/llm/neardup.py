@@ -23,11 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_hot, materialize, ship, text_of
+from .common import BROADCAST_ROWS, join_hot, materialize, ship, text_of, texts_in
 from .tokens import BASE, U64, chunks, mix, shingles, tokenize
 
 WORDS = 5
@@ -66,9 +66,9 @@ def sketch(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = list(pdf["text"])
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = texts_in(batch)
         out = np.zeros((len(texts), SKETCHES), np.int64)
         worded = np.zeros(len(texts), bool)
         for a, b in chunks(texts):
@@ -78,7 +78,8 @@ def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(words):
                     worded[a + k] = True
                     out[a + k] = sketch(shingles(words, WORDS)).view(np.int64)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pdf["k1"], "k2": pdf["k2"], "worded": worded} | {f"s{i}": out[:, i] for i in range(SKETCHES)})
+        columns = [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(worded), *(pa.array(out[:, i]) for i in range(SKETCHES))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "worded", *(f"s{i}" for i in range(SKETCHES))])
 
 
 def _longest_common(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -133,15 +134,15 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return out if out >= least - 1e-12 else 0.0
 
 
-def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        good = np.zeros(len(pdf), bool)
-        left, right = list(pdf["text_a"]), list(pdf["text_b"])
+def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = np.zeros(batch.num_rows, bool)
+        left, right = texts_in(batch, "text_a"), texts_in(batch, "text_b")
         for a, b in chunks([range(len(x) + len(y)) for x, y in zip(left, right, strict=True)]):
             ta, tb = tokenize(left[a:b], digits=True), tokenize(right[a:b], digits=True)
             for k in range(b - a):
                 good[a + k] = similarity(shingles(ta.hash[ta.of(k)], WORDS), shingles(tb.hash[tb.of(k)], WORDS)) > 0
-        yield pdf.loc[good, ["a", "b"]]
+        yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInPandas(_verify_batches, "a long, b long")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long")
 
 
 def pairs_of(rows: DataFrame, n_rows: int) -> DataFrame:
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text = text_of()
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     schema = "doc_id long, k1 long, k2 long, worded boolean, " + ", ".join(f"s{i} long" for i in range(SKETCHES))
-    sketched = materialize(keyed.mapInPandas(_sketch_batches, schema), "sketches")
+    sketched = materialize(keyed.mapInArrow(_sketch_batches, schema), "sketches")
     worded = sketched.where("worded")
     exact = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCHES)])
     exact = materialize(exact, "exact")

@@ -21,7 +21,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, scratch_path
+from .common import BROADCAST_ROWS, fresh, scratch_path
 
 TARGET_BYTES = 128 << 20
 FANIN = 4
@@ -154,10 +154,10 @@ class ShardSet:
             if name.endswith(".json") and name != f"v{version}.json":
                 self._fs.delete(f.getPath(), False)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with shard, the number of the shard in the manifest, and shard_bytes."""
+    def read(self, version: int | None = None, out: tuple[str, str] = ("shard", "shard_bytes")) -> DataFrame:
+        """The rows of a version, with the number of their shard in the manifest and its size by the names in ``out``, which must be new."""
         shards = self.manifest(version)
-        names = self.spark.createDataFrame([(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], k, s.bytes) for k, s in enumerate(shards)], "_name string, shard int, shard_bytes long")
+        names = self.spark.createDataFrame([(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], k, s.bytes) for k, s in enumerate(shards)], f"_name string, `{out[0]}` int, `{out[1]}` long")
         rows = self.spark.read.parquet(*[s.path for s in shards]).withColumn("_name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
         return rows.join(F.broadcast(names) if len(shards) <= BROADCAST_ROWS else names, "_name").drop("_name")
 
@@ -196,4 +196,6 @@ def placement(docs: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """doc_id, source, lang, n_chars, shard, shard_bytes for every document, read back from the committed shards."""
     if docs.isEmpty():
         return docs.select("doc_id", "source", "lang", "n_chars", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
-    return shard_documents(docs, target=target).read().select("doc_id", "source", "lang", "n_chars", "shard", "shard_bytes")
+    shard, size = fresh(docs.columns, "shard", "shard_bytes")
+    rows = shard_documents(docs, target=target).read(out=(shard, size))
+    return rows.select("doc_id", "source", "lang", "n_chars", F.col(shard).alias("shard"), F.col(size).alias("shard_bytes"))

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship, text_of
+from .common import bounded_sample, ship, text_of, texts_in
 from .tokens import BASE, U64, Tokens, chunks, mix, tokenize
 
 #: The bound of the sample that the network learns from: documents of each label, taken by a hash of their ids.
@@ -351,16 +351,16 @@ def score_documents(docs: DataFrame, model: tuple[dict, float] | None) -> DataFr
     ship(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.full(len(pdf), EMPTY_SCORE)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full(batch.num_rows, EMPTY_SCORE)
             if known.value is not None:
                 p, threshold = known.value
-                z = logits(p, ["" if t is None else t for t in pdf["text"]])
+                z = logits(p, texts_in(batch))
                 out = np.where(np.isfinite(z), 1 / (1 + np.exp(-np.clip(z.astype(float) - threshold, -30, 30))), EMPTY_SCORE)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": out})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
