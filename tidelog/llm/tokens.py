@@ -56,7 +56,7 @@ class Tokens:
         return slice(self.bounds[k], self.bounds[k + 1])
 
 
-def chunks(texts: list[str], most: int = 1_000_000):
+def chunks(texts: list[str], most: int = 300_000):
     """Ranges of texts of about ``most`` code points together, so that memory follows the chunk and not the batch."""
     at, held = 0, 0
     for k, t in enumerate(texts):
@@ -77,7 +77,7 @@ def tokenize(texts: list[str], digits: bool = False) -> Tokens:
     inside[1:-1] = (alnum if digits else letter)[codes]
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    n = 1 << max(21, int(len(codes) + 1).bit_length())
+    n = 1 << max(19, int(len(codes) + 1).bit_length())
     power, inverse = _powers(n)
     with np.errstate(over="ignore"):
         total = np.zeros(len(codes) + 1, U64)
