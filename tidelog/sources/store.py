@@ -93,9 +93,10 @@ class Store:
     # writes
 
     def _write(self, rows: DataFrame, kind: str = "log") -> str:
-        folder = f"{kind}/{uuid.uuid4().hex}"
-        out = with_crc(rows).sortWithinPartitions("cf", "key", "seq", "ord").write.partitionBy("cf") if kind == "log" else rows.write
-        if kind == "log":
+        """kind: log, compacted (which followers don't tail) or range_del."""
+        folder = f"{kind}/batch=b{uuid.uuid4().hex}"
+        out = rows.write if kind == "range_del" else with_crc(rows).sortWithinPartitions("cf", "key", "seq", "ord").write.partitionBy("cf")
+        if kind != "range_del":
             out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(self.expected_keys)).option("compression", "lz4_raw")
         out.parquet(f"{self.path}/{folder}")
         return folder
@@ -144,13 +145,14 @@ class Store:
 
     def log(self) -> DataFrame:
         self._refresh()
-        folders = [f"{self.path}/{f}" for f in self._folders("log")]
-        if not folders:
-            return self.spark.createDataFrame([], LOG)
-        out = None
-        for f in folders:  # each folder is a root of its own, with cf as its partition column
-            rows = self.spark.read.schema(f"{LOG}, crc long").parquet(f).drop("crc").select("cf", "key", "seq", "ord", "op", "value", "expires_at")
-            out = rows if out is None else out.unionByName(rows)
+        folders = self._folders("log")
+        out = self.spark.createDataFrame([], LOG) if not folders else None
+        for root in ("compacted", "log"):
+            own = [f"{self.path}/{f}" for f in folders if f.startswith(f"{root}/")]
+            if own:
+                rows = self.spark.read.schema(f"{LOG}, crc long").option("basePath", f"{self.path}/{root}").parquet(*own)
+                rows = rows.select("cf", "key", "seq", "ord", "op", "value", "expires_at")
+                out = rows if out is None else out.unionByName(rows)
         return out
 
     def ranges(self) -> DataFrame | None:
@@ -192,4 +194,4 @@ class Store:
         if not inputs:
             return
         rows = compaction.retain_for_snapshots(self.log(), sorted(self.snapshots.active)).repartitionByRange("cf", "key")
-        self._commit({"kind": "compact", "folder": self._write(rows), "inputs": inputs, "seq": self.write_seq() - 1})
+        self._commit({"kind": "compact", "folder": self._write(rows, "compacted"), "inputs": inputs, "seq": self.write_seq() - 1})

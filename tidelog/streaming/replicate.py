@@ -17,7 +17,7 @@ from ..sources.store import Store
 
 def tail(spark: SparkSession, store_path: str) -> DataFrame:
     """The log of a store as a stream. Files appear only when their job commits."""
-    return spark.readStream.schema(f"{LOG}, crc long").option("recursiveFileLookup", "false").parquet(f"{store_path.rstrip('/')}/log/*").drop("crc")
+    return spark.readStream.schema(f"{LOG}, crc long").parquet(f"{store_path.rstrip('/')}/log").select("cf", "key", "seq", "ord", "op", "value", "expires_at")
 
 
 def replicate(spark: SparkSession, primary: str, replica: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
