@@ -74,6 +74,8 @@ def gram_slots(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
 def fit(rows: list[tuple[str, str]]) -> Model:
     """rows (text, language)."""
     languages = sorted({lang for _, lang in rows})
+    if not languages:
+        return Model([], np.zeros((0, 0), np.float32), np.zeros(0, np.int32))
     size = 1 << TABLE_BITS
     counts = np.zeros((size, len(languages)))
     scripts = np.zeros((len(languages), len(SCRIPT_NAMES)))
