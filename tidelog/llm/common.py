@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from ..ship import ship as ship_package
 
 #: A side of at most this many rows of a few longs may be broadcast; beyond it a shuffled join runs.
 BROADCAST_ROWS = 200_000
@@ -18,6 +18,18 @@ BROADCAST_ROWS = 200_000
 __all__ = ["BROADCAST_ROWS", "bounded_sample", "fresh", "hot_keys", "join_hot", "materialize", "remove_path", "scratch_path", "shared_dir", "ship", "table", "text_of", "texts_in"]
 
 
+#: Rows of an Arrow batch where the session sets none: documents are long, and each Python worker holds a few batches.
+BATCH_ROWS = 2000
+
+
+def ship(spark: SparkSession) -> None:
+    """Get the executors' Python workers ready: the package, and batches of a bounded size."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
