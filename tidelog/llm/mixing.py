@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_of
+from .common import BROADCAST_ROWS, fresh, join_hot, materialize, text_of
 
 AXES = ("source", "lang", "topic")
 ROUNDS = 25
@@ -94,26 +94,45 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarr
 
 
 def rake_cells(cells: DataFrame, targets: dict[str, dict] | None, rounds: int) -> DataFrame:
-    """``rake`` for more cells than the driver should hold: add weight."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
-    shares = {}
+    """``rake`` for more cells than the driver should hold: add weight.
+
+    A weight is the cell's token share times one factor an axis. The cells are read and never rewritten; each step sums them
+    by one axis and writes that axis's factors, so the plan stays as small in the last step as in the first.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return cells.withColumn("weight", F.lit(0.0))
+    n_cells = cells.count()
+    key = lambda axis: F.coalesce(F.concat(F.lit("="), F.col(axis)), F.lit(""))  # noqa: E731  # null is a value
+    factors, few = {}, {}
     for axis in AXES:
-        own = cells.groupBy(axis).agg((F.sum("tokens") / F.lit(float(total))).alias("share"))
+        own = cells.groupBy(key(axis).alias("_v"), axis).agg((F.sum("tokens") / F.lit(total)).alias("share"))
         given = (targets or {}).get(axis)
         if given is None:
             own = own.withColumn("share", F.pow("share", F.lit(TEMPER)))
         elif given:
-            own = own.withColumn("share", F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col(axis)], F.col("share")))
+            known = [F.lit(x) for v, t in given.items() if v is not None for x in (v, float(t))]
+            aim = F.create_map(*known)[F.col(axis)] if known else F.lit(None).cast("double")
+            aim = F.when(F.col(axis).isNull(), F.lit(given.get(None)).cast("double")).otherwise(aim)
+            own = own.withColumn("share", F.coalesce(aim, F.col("share")))
         whole = own.agg(F.sum("share")).first()[0]
-        shares[axis] = materialize(own.withColumn("share", F.col("share") / F.lit(whole)), "share")
-    for k in range(rounds):
+        factors[axis] = materialize(own.select("_v", (F.col("share") / F.lit(whole)).alias("share"), F.lit(1.0).alias("factor")), "factors")
+        few[axis] = factors[axis].limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def weighed() -> DataFrame:
+        out = cells.withColumn("weight", F.col("tokens") / F.lit(total))
+        for axis in AXES:
+            left, right = out.withColumn("_v", key(axis)), factors[axis].select("_v", "factor")
+            out = left.join(F.broadcast(right), "_v") if few[axis] else join_hot(left, right, ["_v"], n_cells, F.xxhash64(*AXES), "inner")
+            out = out.withColumn("weight", F.col("weight") * F.col("factor")).drop("_v", "factor")
+        return out
+
+    for _ in range(rounds):
         for axis in AXES:
-            now = out.groupBy(axis).agg(F.sum("weight").alias("now")).join(shares[axis].withColumnRenamed(axis, "_v"), F.col(axis).eqNullSafe(F.col("_v"))).drop("_v")
-            now = now.select(F.col(axis).alias("_v"), (F.col("share") / F.col("now")).alias("_f"))
-            out = out.join(now, F.col(axis).eqNullSafe(F.col("_v"))).withColumn("weight", F.col("weight") * F.col("_f")).drop("_v", "_f")
-        out = materialize(out, "raked") if k % 5 == 4 else out
-    return out
+            now = weighed().groupBy(key(axis).alias("_v")).agg(F.sum("weight").alias("now"))
+            factor = F.when(F.col("now") > 0, F.col("factor") * F.col("share") / F.col("now")).otherwise(F.lit(0.0))
+            factors[axis] = materialize(factors[axis].join(now, "_v").select("_v", "share", factor.alias("factor")), "factors")
+    return materialize(weighed(), "raked")
 
 
 def probabilities(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
