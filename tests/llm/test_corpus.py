@@ -347,6 +347,27 @@ def test_mixing(spark, frames, monkeypatch):
     assert mixing.mix_sources(docs_of(spark, [])).collect() == [] == mixing.mix_sources(docs_of(spark, [None])).collect()
 
 
+def test_raking_many_cells(spark, monkeypatch):
+    """Beyond MOST_CELLS: null as value and as target, an attribute without tokens, factors joined by shuffle, no tokens at all."""
+    schema = "source string, lang string, topic string, tokens long"
+    cells = spark.createDataFrame([("a", "x", "t", 5), (None, "x", "t", 3), ("a", "y", "t", 2), ("z", "y", "u", 0)], schema)
+    targets = {"source": {"a": 0.4, None: 0.6, "absent": 0.5}}
+    of = lambda df: {(r.source, r.lang, r.topic): r.probability for r in df.collect()}
+    want = of(mixing.probabilities(cells, targets, rounds=2))
+    monkeypatch.setattr(mixing, "MOST_CELLS", 1)
+    assert of(mixing.probabilities(cells, targets, rounds=2)) == pytest.approx(want, rel=1e-6)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert of(mixing.probabilities(cells, targets, rounds=1)) == pytest.approx(of_small(spark, cells, targets), rel=1e-6)
+    assert set(of(mixing.probabilities(cells.withColumn("tokens", F.lit(0).cast("long")), targets, rounds=1)).values()) == {0.0}
+
+
+def of_small(spark, cells, targets):
+    """The same by the numpy path: one round."""
+    rows = sorted((tuple(r) for r in cells.collect()), key=str)
+    p = mixing.calibrate(mixing.rake(rows, targets, 1), np.array([r[-1] for r in rows], float), mixing.BUDGET)
+    return {r[:3]: float(x) for r, x in zip(rows, p)}
+
+
 def test_join_hot_keeps_every_row(spark):
     left = spark.createDataFrame([(1 if i < 900 else i, i) for i in range(1000)] + [(None, 5000)], "k long, v long")
     right = spark.createDataFrame([(1, "a"), (1, "b"), (950, "c")], "k long, x string")
