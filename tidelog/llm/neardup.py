@@ -7,11 +7,17 @@ more closely than plain MinHash. Two texts are near-duplicates if the alignment
 M of them with ``M / (n + m - M) >= 0.8``: a Jaccard similarity that respects order. Texts whose plain Jaccard similarity is
 lower are rejected first, as the alignment can't reach it.
 
-No bucket is expanded into all pairs. Exact copies are one class before sketching counts. In each bucket, and in each
-part of a bucket that agrees on the next sketch too, every text is paired with one leader, the least by a random rank.
-Leaders come from partial aggregates, so that a bucket of any size is handled by as many tasks as there are. The first
-``FIRST`` sketches are verified and their links contracted before pairs of the other sketches are verified, and of those only
-pairs whose texts aren't connected yet. Links are contracted to classes by alternating star operations in Spark.
+Exact copies are one class before sketching counts. In each bucket, and in each part of a bucket that agrees on the next
+sketch too, every text is first paired with one leader, the least by a random rank. Leaders come from partial aggregates, so
+that a bucket of any size is handled by as many tasks as there are. The first ``FIRST`` sketches are verified and their links
+contracted before pairs of the other sketches are verified, and of those only pairs whose texts aren't connected yet. Links are
+contracted to classes by alternating star operations in Spark.
+
+Leaders link most of a class, not all of it. What is left are buckets whose texts are in several classes. All their pairs across classes
+are compared by signatures, parity bitmaps of the labelled k-mers: two of them differ in no more bits than the texts differ in
+k-mers, so a pair whose signatures differ too much can't be near-duplicates, and no other pair is given up. Such buckets are
+dealt in blocks of about ``BLOCK`` texts, each pair of blocks a group of its own. Of the remaining pairs each text's ``limit`` nearest are
+verified and contracted; rounds with a growing limit follow until no pair of a bucket is unverified and unconnected.
 
 Defined results: texts without words are classes of their own, even if equal; one to four words are one run; null ids form
 classes by equal text only, and their class_id is null unless a copy has an id; rows that repeat an id are one document
@@ -34,6 +40,8 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES, PICKS = 16, 3
 FIRST = 4
+#: Bits of a signature; texts of a block; pairs verified for a text in the first round, and by how much more in each later one.
+BITS, BLOCK, NEAREST, MORE = 2048, 2000, 4, 8
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * U64(BASE))
 
 
@@ -156,14 +164,149 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def pairs_of(rows: DataFrame, n_rows: int) -> DataFrame:
-    """rows (id, bucket, part): pairs (a, b) of each id with the least id of its bucket and of its part, a < b, each once."""
+    """rows (id, bucket, part): pairs (a, b) of each id with the leader of its bucket and of its part, a < b, each once."""
     out = []
     for keys in (["bucket"], ["bucket", "part"]):
-        leaders = rows.groupBy(*keys).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-        out.append(join_hot(rows, leaders, keys, n_rows, F.xxhash64("id"), "inner").where("a <> id").select("a", F.col("id").alias("b")))
+        leader = F.min(F.struct(F.xxhash64("bucket", "id").alias("rank"), F.col("id").alias("id")))
+        leaders = rows.groupBy(*keys).agg(leader.alias("_l"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*keys, F.col("_l.id").alias("_a"))
+        pairs = join_hot(rows, leaders, keys, n_rows, F.xxhash64("id"), "inner").where("_a <> id")
+        out.append(pairs.select(F.least("_a", "id").alias("a"), F.greatest("_a", "id").alias("b")))
     return out[0].union(out[1]).distinct()
 
 
+def signature(runs: np.ndarray) -> np.ndarray:
+    """Of each bit, whether the number of labelled k-mers that fall on it is odd."""
+    with np.errstate(over="ignore"):
+        labelled = mix(runs + occurrences(runs).astype(U64) * U64(BASE))
+    odd = np.bincount((labelled % U64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = texts_in(batch)
+        n, signs = [], []
+        for a, b in chunks(texts):
+            t = tokenize(texts[a:b], digits=True)
+            for k in range(b - a):
+                runs = shingles(t.hash[t.of(k)], WORDS)
+                n.append(len(runs))
+                signs.append(signature(runs).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(signs, pa.binary())], names=["id", "n", "sign"])
+
+
+def near_pairs(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, signs: np.ndarray, limit: int) -> list[tuple[int, int, bool]]:
+    """(a, b, cut): of each text the ``limit`` nearest of those in other classes that may be near-duplicates; cut: it has more of them."""
+    out = []
+    step = max(1, 2_000_000 // signs.size)
+    for x in range(0, len(ids), step):
+        here = slice(x, x + step)
+        may = (roots[here, None] != roots) & (np.minimum(n[here, None], n) >= SIMILARITY * np.maximum(n[here, None], n) - 1e-6)
+        if not may.any():
+            continue
+        differ = np.bitwise_count(signs[here, None] ^ signs).sum(2, dtype=np.int64)
+        # a similarity of s takes 2 s / (1 + s) of n + m in common, so this much may differ
+        may &= differ <= (n[here, None] + n) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
+        for k in np.flatnonzero(may.any(axis=1)):
+            to = np.flatnonzero(may[k])
+            cut = len(to) > limit
+            if cut:
+                to = to[np.argsort(differ[k, to], kind="stable")[:limit]]
+            a = int(ids[x + k])
+            out.extend((min(a, b), max(a, b), cut) for b in ids[to].tolist())
+    return out
+
+
+def _near_batches(limit: int):
+    def group(held: list[pa.RecordBatch]) -> list[tuple[int, int, bool]]:
+        t = pa.Table.from_batches(held)
+        signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        return near_pairs(*(t.column(c).to_numpy() for c in ("id", "root", "n")), signs, limit)
+
+    def batch_of(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+        a, b, cut = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, found = [], None, []
+        for batch in batches:  # sorted by group; a group may go on in the next batch
+            g = batch.column("g").to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(g)) + 1), len(g)] if len(g) else []
+            for a, b in zip(at, at[1:]):
+                if held and g[a] != last:
+                    found += group(held)
+                    held = []
+                    if len(found) > 10_000:
+                        yield batch_of(found)
+                        found = []
+                held.append(batch.slice(a, b - a))
+                last = g[a]
+        yield batch_of(found + (group(held) if held else []))
+
+    return run
+
+
+def several(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Of rows (id, bucket, root) those of the buckets whose ids are in several classes."""
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("bucket")
+    return join_hot(rows, mixed, ["bucket"], n_rows, F.xxhash64("id"), "inner")
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root of their id: itself if it has no links."""
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def blocks(rows: DataFrame, signs: DataFrame) -> DataFrame:
+    """rows (id, bucket, root): (g, id, root, n, sign), where any two ids of a bucket that are in different classes share a group g.
+
+    The largest class of a bucket and the rest are dealt to blocks apart, so that a few texts beside a large class are few pairs.
+    """
+    count = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    count = count.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"))
+    shape = count.select("bucket", F.col("m.root").alias("main"), F.ceil(F.col("m.c") / BLOCK).alias("p"), F.ceil((F.col("c") - F.col("m.c")) / BLOCK).alias("q"))
+    rows = join_hot(rows, shape, ["bucket"], rows.count(), F.xxhash64("id"), "inner").join(signs, "id")
+    in_main = F.col("root") == F.col("main")
+    k = F.pmod(F.xxhash64("id"), F.when(in_main, F.col("p")).otherwise(F.col("q")))
+    rows = rows.withColumn("k", k)
+    to = lambda many, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(many) - 1), f)
+    groups = F.when(in_main, to("q", lambda j: F.xxhash64("bucket", F.lit(0), "k", j))).otherwise(
+        F.concat(
+            to("p", lambda i: F.xxhash64("bucket", F.lit(0), i, "k")),
+            F.filter(to("q", lambda j: F.when(j != F.col("k"), F.xxhash64("bucket", F.lit(1), F.least(j, "k"), F.greatest(j, "k")))), lambda g: g.isNotNull()),
+        )
+    )
+    return rows.select(F.explode(groups).alias("g"), "id", "root", "n", "sign")
+
+
+def rest(docs: DataFrame, rows: DataFrame, n_rows: int, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The roots after all pairs of rows (id, bucket, root) that share a bucket are connected, or verified, or differ too much by their signatures."""
+    open_ = materialize(several(rows, n_rows), "open")
+    if open_.isEmpty():
+        return roots
+    ids = open_.select("id").distinct()
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    signs = materialize(texts.mapInArrow(_signature_batches, "id long, n long, sign binary").distinct(), "signs")
+    limit, tested = NEAREST, None
+    while True:
+        found = blocks(open_, signs).repartition("g").sortWithinPartitions("g").mapInArrow(_near_batches(limit), "a long, b long, cut boolean")
+        found = materialize(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "near")
+        pairs = found.select("a", "b")
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(verified(docs, pairs), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links, "stars")
+        if found.where("cut").isEmpty():
+            return roots
+        open_ = materialize(several(rooted(open_.select("id", "bucket"), roots), open_.count()), "open")
+        if open_.isEmpty():
+            return roots
+        tested = pairs if tested is None else tested.union(pairs)
+        limit *= MORE
+
+
 def components(edges: DataFrame, name: str, most_rounds: int = 30) -> DataFrame:
     """edges (a, b): (id, root) for every id in them, root the least id of its component.
 
@@ -203,9 +346,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     n = known.count()
 
-    def candidates(of: range) -> DataFrame:
+    def buckets(of: range, known: DataFrame = known) -> DataFrame:
         parts = F.array(*[F.struct(F.xxhash64(F.lit(i), f"s{i}").alias("bucket"), F.col(f"s{(i + 1) % SKETCHES}").alias("part")) for i in of])
-        return pairs_of(known.select("id", F.explode(parts).alias("p")).select("id", "p.bucket", "p.part"), n * len(of))
+        return known.withColumn("p", F.explode(parts)).select("id", "p.bucket", "p.part", *(["root"] if "root" in known.columns else []))
+
+    def candidates(of: range) -> DataFrame:
+        return pairs_of(buckets(of), n * len(of))
 
     # rows that repeat an id with other texts are one document: its texts' classes are linked
     repeated = worded.where("doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y"), F.min("k2").alias("z"), F.max("k2").alias("w")).where("x <> y or z <> w").select("doc_id")
@@ -226,7 +372,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = materialize(second.where("coalesce(_ra, a) <> coalesce(_rb, b)").select("a", "b"), "pairs")
     more = materialize(verified(docs, second), "links")
     if not more.isEmpty():
-        roots = components(links.union(more), "stars")
+        links = links.union(more)
+        roots = components(links, "stars")
+    roots = rest(docs, buckets(range(SKETCHES), rooted(known, roots)).select("id", "bucket", "root"), n * SKETCHES, links, roots)
     groups = exact.select("k1", "k2", "id", "n").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("class_id"), "n")
     sizes = groups.groupBy("class_id").agg(F.sum("n").alias("class_size"))
     groups = groups.join(sizes, "class_id", "left").select("k1", "k2", "class_id", F.coalesce("class_size", "n").alias("class_size"))
