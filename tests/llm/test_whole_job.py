@@ -51,3 +51,10 @@ def test_near_pairs_give_up_no_pair():
     found = neardup.near_pairs(ids, ids, n, signs, 60)
     assert true and true <= {(a, b) for a, b, _ in found} and not any(cut for _, _, cut in found)
     assert any(cut for _, _, cut in neardup.near_pairs(ids, ids, n, signs, 1))
+
+
+def test_pipeline_dedup_of_a_group_whose_original_comes_last(spark):
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    docs = docs_of(spark, star(150))
+    kept = stage(spark, docs, "")
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [0]
