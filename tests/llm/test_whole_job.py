@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tidelog.llm import neardup, tokens
@@ -58,3 +59,9 @@ def test_pipeline_dedup_of_a_group_whose_original_comes_last(spark):
     docs = docs_of(spark, star(150))
     kept = stage(spark, docs, "")
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [0]
+
+
+def test_components_never_return_links_that_are_no_stars(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        neardup.components(edges, "t", most_rounds=1)

@@ -307,15 +307,19 @@ def rest(docs: DataFrame, rows: DataFrame, n_rows: int, links: DataFrame, roots:
         limit *= MORE
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, name: str, most_rounds: int | None = None) -> DataFrame:
     """edges (a, b): (id, root) for every id in them, root the least id of its component.
 
     Alternating large-star and small-star: in each round every id links its larger neighbours, then its smaller ones, to its
-    least neighbour, until the links are stars. Stars and the near-stars that leaders make take two or three rounds.
+    least neighbour, until the links are stars. Stars and the near-stars that leaders make take two or three rounds. Without
+    ``most_rounds`` there is no bound; with it, links that aren't stars by then are an error.
     """
     current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    state = None
-    for _ in range(most_rounds):
+    state, rounds = None, 0
+    while True:
+        if rounds == most_rounds:
+            raise RuntimeError(f"links aren't stars after {most_rounds} rounds")
+        rounds += 1
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
