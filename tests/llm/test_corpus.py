@@ -282,6 +282,8 @@ def test_sharding_round_trip(spark, tmp_path):
     assert rows(s.read(out=("n", "b"))) == rows(docs) == rows(s.read(first, ("n", "b")))
     assert not s.runs(s.manifest()) and all(x.bytes <= 200_000 for x in s.manifest())
     s.vacuum()
+    assert rows(s.read(first, ("n", "b"))) == rows(docs)
+    s.vacuum(0)
     assert rows(s.read(out=("n", "b"))) == rows(docs)
     with pytest.raises(sharding.ManifestConflict):
         s.commit(s.version() - 1, [])

@@ -4,17 +4,23 @@ Arrivals are appended as small immutable shards (Parquet files) that never chang
 ``FANIN`` times the one before. Where a tier holds ``FANIN`` shards or more, its shards are merged in order of arrival into
 files of up to the target size. Rows aren't shuffled: a merge reads whole shards, packed into tasks of the target size, and
 each task writes one file. Every append and merge is committed as a new version of the manifest, which lists the shards
-that hold the data; the manifest file is created by exclusive create under a name that no other commit can have, after the
-data is written. So readers see one version or the next, a failed job leaves only unlisted files, and of two writers that
-race one gets ``ManifestConflict``. Shards that no listed version needs are deleted by ``vacuum``.
+that hold the data. Data go to a folder of a name that no other writer has; the manifest is written whole under a name of its own
+and then renamed to that of its version, which fails if the version exists. So readers see one version or the next, a failed
+job leaves only unlisted files, a writer that dies at any point blocks nobody, and of two writers that race one commits and
+the other, whose data stay its own, commits on the version after that (``append``) or starts anew (``compact``).
 
-Defined results: null and empty texts are rows as any other; an empty arrival commits a version without new shards; rows
-that repeat are all kept; every column is stored as it is. The row order within a shard is that of arrival.
+``vacuum`` deletes what no kept version lists: kept are the last version and those younger than ``KEEP_S`` seconds; folders
+younger than that are left alone too, as their writer may be about to commit them.
+
+Defined results: null and empty texts are rows as any other; an empty arrival commits a version without new shards; a set without
+shards reads as no rows (of the columns that the caller names); rows that repeat are all kept; every column is stored as it is. The row
+order within a shard is that of arrival.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -29,6 +35,9 @@ FANIN = 4
 SMALL_BYTES = 1 << 20
 #: Shards of an arrival are cut at so many rows.
 SHARD_ROWS = 2000
+#: How long versions and unlisted folders are kept, and how often an append tries to commit.
+KEEP_S = 24 * 3600
+TRIES = 100
 
 
 class ManifestConflict(Exception):
@@ -80,14 +89,16 @@ class ShardSet:
         stream = self._fs.create(own, False)
         stream.write(bytearray(json.dumps({"version": version + 1, "shards": [asdict(s) for s in shards]}).encode()))
         stream.close()
-        lock = self._fs_path(f"{self.root}/manifest/v{version + 1}.claim")
-        try:
-            self._fs.create(lock, False).close()  # exclusive
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:  # FileContext's rename doesn't overwrite
+            context.rename(self._fs.makeQualified(own), self._fs.makeQualified(final), none)
         except Exception as e:
             self._fs.delete(own, False)
-            raise ManifestConflict(version + 1) from e
-        if self._fs.exists(final) or not self._fs.rename(own, final):
-            raise ManifestConflict(version + 1)
+            if self._fs.exists(final):
+                raise ManifestConflict(version + 1) from e
+            raise
         return version + 1
 
     def _written(self, folder: str, arrival: int) -> list[Shard]:
@@ -95,11 +106,17 @@ class ShardSet:
         return [Shard(f.getPath().toString(), f.getLen(), arrival) for f in sorted(files, key=lambda f: f.getPath().getName())]
 
     def append(self, rows: DataFrame) -> int:
-        """Commit the rows as new shards."""
-        version = self.version()
-        folder = f"{self.root}/data/a{version + 1}"
-        rows.write.option("maxRecordsPerFile", self.shard_rows).mode("overwrite").parquet(folder)
-        return self.commit(version, self.manifest(version) + self._written(folder, version + 1))
+        """Commit the rows as new shards, after whatever others commit meanwhile."""
+        folder = f"{self.root}/data/a{uuid.uuid4().hex}"
+        rows.write.option("maxRecordsPerFile", self.shard_rows).mode("errorifexists").parquet(folder)
+        for left in range(TRIES, 0, -1):
+            version = self.version()
+            try:
+                return self.commit(version, self.manifest(version) + self._written(folder, version + 1))
+            except ManifestConflict:
+                if left == 1:
+                    raise
+        raise AssertionError("unreachable")
 
     def runs(self, shards: list[Shard]) -> list[list[Shard]]:
         """What to merge: of each tier below the target its shards, if they are FANIN or more, in order of arrival."""
@@ -110,56 +127,66 @@ class ShardSet:
         return [sorted(t, key=lambda s: (s.arrival, s.path)) for _, t in sorted(tiers.items()) if len(t) >= FANIN]
 
     def compact(self) -> int:
-        """Merge until no tier has a run to merge. Each merge is a commit."""
+        """Merge until no tier has a run to merge. Each merge is a commit; one that another writer overtakes starts anew."""
+        vain: set[tuple[Shard, ...]] = set()  # runs whose files are as large as they get
         while True:
             version = self.version()
             shards = self.manifest(version)
-            runs = self.runs(shards)
-            if not runs:
+            run = next((r for r in self.runs(shards) if tuple(r) not in vain), None)
+            if run is None:
                 return version
-            run = runs[0]
             conf = self.spark.conf
             keys = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
             before = {k: conf.get(k, None) for k in keys}
-            folder = f"{self.root}/data/c{version + 1}"
+            folder = f"{self.root}/data/c{uuid.uuid4().hex}"
             try:
                 for k, v in keys.items():
                     conf.set(k, v)
                 rows = self.spark.read.parquet(*[s.path for s in run])
-                rows.write.mode("overwrite").parquet(folder)
+                rows.write.mode("errorifexists").parquet(folder)
             finally:
                 for k, v in before.items():
                     conf.unset(k) if v is None else conf.set(k, v)
-            merged = self._written(folder, run[0].arrival)
-            if len(merged) >= len(run):  # nothing gained: these are as large as they get
-                return version
-            gone = set(run)
-            self.commit(version, [s for s in shards if s not in gone] + merged)
-
-    def vacuum(self) -> None:
-        """Delete data files that the last version doesn't list, and older versions."""
-        version = self.version()
-        keep = {s.path for s in self.manifest(version)}
+            merged, gone = self._written(folder, run[0].arrival), set(run)
+            if len(merged) >= len(run):
+                vain.add(tuple(run))
+                self._fs.delete(self._fs_path(folder), True)
+                continue
+            try:
+                self.commit(version, [s for s in shards if s not in gone] + merged)
+            except ManifestConflict:
+                self._fs.delete(self._fs_path(folder), True)
+
+    def vacuum(self, keep_s: float = KEEP_S) -> None:
+        """Delete versions and data that are older than keep_s seconds and that neither the last version nor a younger one needs."""
+        version, until = self.version(), (time.time() - keep_s) * 1000
+        manifests = {f.getPath().getName(): f for f in self._fs.listStatus(self._fs_path(f"{self.root}/manifest"))}
+        kept = [int(n[1:-5]) for n, f in manifests.items() if n.startswith("v") and n.endswith(".json") and (n == f"v{version}.json" or f.getModificationTime() > until)]
+        listed = {s.path for v in kept for s in self.manifest(v)}
         data = self._fs_path(f"{self.root}/data")
         for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
             files = self._fs.listStatus(folder.getPath())
-            if any(f.getPath().toString() in keep for f in files):
+            if any(f.getPath().toString() in listed for f in files):
                 for f in files:
-                    if f.getPath().getName().startswith("part-") and f.getPath().toString() not in keep:
+                    if f.getPath().getName().startswith("part-") and f.getPath().toString() not in listed and f.getModificationTime() <= until:
                         self._fs.delete(f.getPath(), False)
-            else:
+            elif folder.getModificationTime() <= until:
                 self._fs.delete(folder.getPath(), True)
-        for f in self._fs.listStatus(self._fs_path(f"{self.root}/manifest")):
-            name = f.getPath().getName()
-            if name.endswith(".json") and name != f"v{version}.json":
+        for name, f in manifests.items():
+            if f.getModificationTime() <= until and name not in {f"v{v}.json" for v in kept}:
                 self._fs.delete(f.getPath(), False)
 
-    def read(self, version: int | None = None, out: tuple[str, str] = ("shard", "shard_bytes")) -> DataFrame:
-        """The rows of a version, with the number of their shard in the manifest and its size by the names in ``out``, which must be new."""
+    def read(self, version: int | None = None, out: tuple[str, str] = ("shard", "shard_bytes"), empty: DataFrame | None = None) -> DataFrame:
+        """The rows of a version, with the number of their shard in the manifest and its size by the names in ``out``, which must be new. empty: whose columns a set without shards has."""
         shards = self.manifest(version)
-        names = self.spark.createDataFrame([(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], k, s.bytes) for k, s in enumerate(shards)], f"_name string, `{out[0]}` int, `{out[1]}` long")
-        rows = self.spark.read.parquet(*[s.path for s in shards]).withColumn("_name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
-        return rows.join(F.broadcast(names) if len(shards) <= BROADCAST_ROWS else names, "_name").drop("_name")
+        if not shards:
+            base = self.spark.range(0).select() if empty is None else empty.limit(0)
+            return base.select("*", F.lit(0).alias(out[0]), F.lit(0).cast("long").alias(out[1]))
+        rows = self.spark.read.parquet(*[s.path for s in shards])
+        (name,) = fresh([*rows.columns, *out], "_name")
+        names = self.spark.createDataFrame([(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], k, s.bytes) for k, s in enumerate(shards)], f"`{name}` string, `{out[0]}` int, `{out[1]}` long")
+        rows = rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
+        return rows.join(F.broadcast(names) if len(shards) <= BROADCAST_ROWS else names, name).drop(name)
 
 
 def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -188,7 +215,10 @@ def shard_documents(docs: DataFrame, root: str | None = None, batches: int = 4,
     for rows in arrivals(docs, batches):
         shards.append(rows)
     shards.compact()
-    shards.vacuum()
+    if root is None:  # nobody else reads it
+        shards.vacuum(0)
+    else:
+        shards.vacuum()
     return shards
 
 
