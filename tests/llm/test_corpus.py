@@ -207,6 +207,13 @@ def test_decontamination_edges(spark, monkeypatch):
         assert want is None or want == rows
         want = rows
     assert len(decontaminate.keep_uncontaminated(docs_of(spark, texts), bench).collect()) == len(texts) - 2
+    odd = docs_of(spark, texts[:2]).select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(("gram", "row_id", "n_words", "_w", "row", "items"))])
+    got = {r.doc_id: r for r in decontaminate.decontaminate(odd, bench).collect()}
+    assert (got[0].n_words, got[0].n_words_, got[0]._w, got[0].row) == (2, 61, 3, 4) and sorted(got[0].items_) == [1, 6]
+    mapped = odd.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert [r.doc_id for r in decontaminate.keep_uncontaminated(mapped, bench).collect()] == [1]
+    unnamed = spark.createDataFrame([(None, long)], "item_id long, text string")
+    assert tuple(decontaminate.contamination_report(docs_of(spark, [long]), unnamed).first())[1:4] == (60, 60, 0)
     none = decontaminate.contamination_report(docs_of(spark, ["a b"]), bench.limit(0)).first()
     assert (none.n_words, none.n_hit, none.contaminated) == (2, 0, False)
 
@@ -379,9 +386,16 @@ def test_join_hot_keeps_every_row(spark):
 
 
 def test_bounded_sample(spark):
-    ids = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "x").otherwise("y").alias("k"))
-    n = collections.Counter(r.k for r in common.bounded_sample(ids, "k", 100).collect())
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 10 == 0, "x").otherwise("y").alias("k"))
+    n = collections.Counter(k for _, k in common.bounded_sample(rows, "k", 100, 10**6))
     assert n == {"x": 100, "y": 100}
+    # a value all of whose rows share an id, one all of whose rows are the same, one with long texts
+    hot = spark.range(30000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("text"), F.lit("hot").alias("k"))
+    same = spark.range(30000).select(F.lit(8).alias("doc_id"), F.lit("s").alias("text"), F.lit("same").alias("k"))
+    long_ = spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("l"), 1000).alias("text"), F.lit("long").alias("k"))
+    got = common.bounded_sample(rows.union(hot).union(same).union(long_), "k", 100, 2500)
+    assert collections.Counter(k for _, k in got) == {"x": 100, "y": 100, "hot": 100, "same": 1, "long": 3}
+    assert common.bounded_sample(rows.limit(0), "k", 100, 10**6) == []
 
 
 def test_pipeline(spark, frames):

@@ -49,11 +49,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared folder; a lost executor then costs a reread, not a recomputation."""
-    path = scratch_path(df.sparkSession, name)
+#: Rows of a written file at least, for tables of a few numbers a row.
+FILE_ROWS = 500_000
+
+
+def materialize(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+    """Cut the lineage by writing ``df`` to the shared folder; a lost executor then costs a reread, not a recomputation.
+
+    most_rows: for tables of a few numbers a row, how many rows there can be; they are written as so many files of ``FILE_ROWS``,
+    or as many as the cluster has cores, in place of one for each shuffle partition.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if most_rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-most_rows // FILE_ROWS)))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -81,20 +92,31 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n_left: int, sp
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
-def bounded_sample(ids: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows (key, doc_id, ...) of each value of ``key``, by a hash of doc_id.
+#: Values of a key (labels, languages) that a sample takes up: the most frequent.
+MOST_VALUES = 500
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int, most_chars: int) -> list[tuple[str, object]]:
+    """(text, value) of at most ``n`` rows (key, doc_id, text) of each value of ``key``, by a hash of id and text.
 
-    Rows that can hardly be among the n are left out by their hash before any shuffle, so that what meets in the task of
-    a value is about 1.5 n rows, at any size of the input. ``key`` must have few values, such as labels or languages.
+    Rows that repeat count once, so that a value whose rows share an id or a text has its sample too. Of a value's rows in the
+    order of their hashes those are taken before which there are fewer than ``most_chars`` characters: what is collected is bounded
+    by ``MOST_VALUES`` values and the characters, and one text each. Only hashes and lengths are shuffled before the choice, and those
+    that can hardly be among the n are left out by their hash first, so that what meets in the task of a value is about 1.5 n rows.
     """
-    counts = {r[key]: r["c"] for r in ids.groupBy(key).agg(F.count(F.lit(1)).alias("c")).collect()}
+    k, h = F.col(key).alias("k"), F.xxhash64("doc_id", "text").alias("h")
+    all_ = rows.select(k, h, F.length("text").alias("n")).groupBy("k", "h").agg(F.max("n").alias("n"))
+    counts = all_.groupBy("k").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "k").limit(MOST_VALUES).collect()
     if not counts:
-        return ids
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for v, c in counts.items() for x in (v, min(1.0, (1.5 * n + 100) / c))])[F.col(key)]
-    near = ids.where(place < share * F.lit(float(1 << 30)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(place, "doc_id"))
-    return near.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+        return []
+    place = F.pmod("h", F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.k, min(1.0, (1.5 * n + 100) / r.c))])[F.col("k")]
+    near = all_.where(place < share * F.lit(float(1 << 30)))
+    w = Window.partitionBy("k").orderBy(place, "h")
+    near = near.withColumn("r", F.row_number().over(w)).withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    chosen = near.where((F.col("r") <= n) & (F.coalesce("before", F.lit(0)) < most_chars)).select("k", "h")
+    found = rows.select(k, h, "text").join(F.broadcast(chosen), ["k", "h"]).groupBy("k", "h").agg(F.first("text").alias("text"))
+    return sorted((r.text, r.k) for r in found.collect())
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, ship, text_of, texts_in
 from .tokens import BASE, U64, Tokens, char_tables, chunks, mix, tokenize
 
-#: The bound of the sample that the model is fitted on: documents a language, taken by a hash of their ids.
-SAMPLE_PER_LANGUAGE = 500
+#: The bound of the sample that the model is fitted on: documents a language, taken by a hash of id and text, and their characters.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 500, 3_000_000
 TABLE_BITS = 16
-GRAMS = 3
 #: Log-odds that a switch of language costs, and the range a word's score may span.
 SWITCH = 6.0
 WORD_RANGE = 8.0
@@ -55,7 +54,7 @@ def script_bits(codes: np.ndarray) -> np.ndarray:
 
 
 def gram_slots(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of the 1-, 2- and 3-gram that ends at each letter, words being preceded by a blank; and each letter's word."""
+    """The buckets of the 2- and the 3-gram that end at each letter, words being preceded by a blank; and each letter's word."""
     length = t.end - t.start
     word = np.repeat(np.arange(len(length)), length)
     at = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length) + t.start[word]
@@ -198,9 +197,7 @@ def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on at most ``per_language`` documents of each language, none of the held-out fold."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
-    chosen = bounded_sample(learn.select("doc_id", "lang"), "lang", per_language).select("doc_id").distinct()
-    rows = learn.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").collect()  # per_language x languages
-    return fit([(r.text, r.lang) for r in rows])
+    return fit(bounded_sample(learn.select("doc_id", "text", "lang"), "lang", per_language, SAMPLE_CHARS))
 
 
 def identify(docs: DataFrame, model: Model, out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, ship, text_of, texts_in
 from .tokens import BASE, U64, Tokens, chunks, mix, tokenize
 
-#: The bound of the sample that the network learns from: documents of each label, taken by a hash of their ids.
-SAMPLE_PER_LABEL = 1500
+#: The bound of the sample that the network learns from: documents of each label, taken by a hash of id and text, and their characters.
+SAMPLE_PER_LABEL, SAMPLE_CHARS = 1500, 6_000_000
 FOLDS, HELD_OUT = 5, 0
 WIDTH, STRIDE = 16, 8
 WORD_BITS, GRAM_BITS = 13, 15
@@ -329,12 +329,17 @@ def threshold_of(p: dict, texts: list[str], toxic: np.ndarray) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> list[tuple[str, int]]:
-    """At most per_label documents of each label, none of the held-out fold; the ids are chosen from labels alone."""
+    """At most per_label documents of each label, none of the held-out fold."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = bounded_sample(known, "toxic", per_label).select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    return sorted((r.text, r.toxic) for r in rows.collect())
+    # labels that can hardly be in the sample go before the texts are met; enough stay for labels without a document
+    counts = {r.toxic: r.c for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("c")).collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for y, c in counts.items() for x in (y, min(1.0, (4.0 * per_label + 200) / c))])[F.col("toxic")]
+    near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(near), "doc_id")
+    return bounded_sample(rows, "toxic", per_label, SAMPLE_CHARS)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[dict, float] | None:
