@@ -1,4 +1,5 @@
 import collections
+import datetime
 import gzip
 import base64
 import hashlib
@@ -334,6 +335,28 @@ def test_url_filters(spark):
     assert got == [(1, "keep"), (2, "block"), (3, "block"), (4, "keep"), (5, "keep"), (6, "keep"), (7, "keep"), (8, "block"), (8, "block"), (9, "keep")]
     assert urlfilter.evaluate(captures.limit(0), entries).collect() == []
     assert {r.verdict for r in urlfilter.evaluate(captures, entries.limit(0)).collect()} == {"keep"}
+    clash = captures.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("host", "rule", "_row", "key", "day", "id"))])
+    out = urlfilter.evaluate(clash, entries)
+    assert out.columns == [*clash.columns, "host_", "verdict", "rule_", "rule_since"]
+    assert {(r.host, r.rule, r._row, r.key) for r in out.collect()} == {(0, 1, 2, 3)} and sorted((r.page_id, r.verdict) for r in out.collect()) == got
+
+
+def test_as_of_against_every_interval(spark):
+    r = random.Random(8)
+    start = datetime.date(2020, 1, 15)
+    day = lambda: start + datetime.timedelta(r.randrange(900))
+    keys = ["a.com", "x.a.com", "b.org", "c.net", "y.c.net"]
+    entries = [(r.choice(keys[:4]), day(), r.choice(["block", "allow", "remove"])) for _ in range(60)]
+    rows = [(i, f"http://{'y.c.net' if i % 3 == 0 else r.choice(keys)}/", day()) for i in range(1500)]  # a hot key
+    got = {x.page_id: (x.verdict, x.rule, x.rule_since) for x in urlfilter.evaluate(spark.createDataFrame(rows, "page_id long, url string, fetch_day date"), spark.createDataFrame(entries, "key string, day date, action string")).collect()}
+    rank = {"remove": 0, "allow": 1, "block": 2}
+    for i, url, at in rows:
+        host, want = url[7:-1], ("keep", None, None)
+        for key in sorted(keys, key=len):
+            own = [(d, rank[a]) for k, d, a in entries if k == key and d <= at]
+            if (host == key or host.endswith("." + key)) and own and max(own)[1]:
+                want = ("block" if max(own)[1] == 2 else "keep", key, max(own)[0])
+        assert got[i] == want
 
 
 def test_mixing(spark, frames, monkeypatch):
@@ -342,14 +365,20 @@ def test_mixing(spark, frames, monkeypatch):
     w = mixing.rake(cells, {"lang": {"en": 0.5, "fr": 0.5}, "source": {"s1": 0.4, None: 0.6}}, 200)
     assert w.sum() == pytest.approx(1) and w[:4].sum() == pytest.approx(0.4, abs=1e-6)
     assert w[[2, 3, 6, 7]].sum() == pytest.approx(0.5, abs=1e-6)
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").groupBy("source", "lang", mixing.topic_of(F.col("text")).alias("topic")).agg(F.sum(mixing.tokens_of(F.col("text")))).collect()
+    real = sorted((tuple(r) for r in real), key=str)
+    assert mixing.deviation(real, mixing.rake(real)) < 1e-4 and mixing.deviation(real, mixing.rake(real, rounds=200)) < mixing.deviation(real, mixing.rake(real, rounds=1))
     p = mixing.calibrate(w, np.array([c[-1] for c in cells], float), 0.3)
     assert (p * [c[-1] for c in cells]).sum() == pytest.approx(0.3 * 1357) and p.max() <= 1
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.tokens_of(F.col("text")).alias("tokens"))
     want = {tuple(r)[:3]: r.probability for r in mixing.probabilities(docs, rounds=5).collect()}
     monkeypatch.setattr(mixing, "MOST_CELLS", 3)
     got = {tuple(r)[:3]: r.probability for r in mixing.probabilities(docs, rounds=5).select("source", "lang", "topic", "probability").collect()}
-    assert got == pytest.approx(want, rel=1e-6)
+    assert got == pytest.approx(want, rel=1e-9)
+    corpus = spark.read.parquet(f"{SF}/documents.parquet")
+    large = {r.doc_id for r in mixing.mix_sources(corpus).collect()}
     monkeypatch.undo()
+    assert large == {r.doc_id for r in mixing.mix_sources(corpus).collect()}
     odd = docs_of(spark, ODD).withColumn("source", F.lit(None).cast("string")).withColumn("_topic", F.lit(1))
     assert set(mixing.mix_sources(odd, budget=1.0).columns) == {*odd.columns, "mix_topic", "mix_tokens", "probability"}
     # texts without tokens are kept by the probability of their cell, here 1 for every cell

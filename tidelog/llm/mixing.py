@@ -9,7 +9,7 @@ and after the loss of any executor.
 Raking works on the cells, of which there are as many as combinations of attributes, not on documents. Up to ``MOST_CELLS``
 are raked in the driver with numpy; more are raked by ``rake_cells`` in Spark, the same arithmetic.
 
-Defined results: null attributes are a value of their own; null and empty texts have no tokens, belong to cells as any
+Defined results: null attributes are a value of their own; documents without an id share one draw; null and empty texts have no tokens, belong to cells as any
 other, and are kept by their cell's probability (0 for a cell without tokens); values without a target get their own share,
 targets for absent values are left out, and the rest is scaled to 1; rows that repeat share their fate; an empty table
 stays empty; other columns stay as they are.
@@ -93,6 +93,18 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarr
     return np.minimum(1.0, np.where(ratio > 0, c * ratio, 0.0))
 
 
+def deviation(cells: list[tuple], weight: np.ndarray, targets: dict[str, dict] | None = None) -> float:
+    """How far the marginals of raked weights are from their targets at most: what is left after the rounds."""
+    tokens, most = np.array([c[-1] for c in cells], float), 0.0
+    for k, axis in enumerate(AXES):
+        values = sorted({c[k] for c in cells}, key=str)
+        at = {v: i for i, v in enumerate(values)}
+        index = np.array([at[c[k]] for c in cells])
+        share = _target(dict(zip(values, np.bincount(index, tokens), strict=True)), (targets or {}).get(axis))
+        most = max(most, float(np.abs(np.bincount(index, weight, len(values)) - [share[v] for v in values]).max()))
+    return most
+
+
 def rake_cells(cells: DataFrame, targets: dict[str, dict] | None, rounds: int) -> DataFrame:
     """``rake`` for more cells than the driver should hold: add weight.
 
@@ -143,13 +155,18 @@ def probabilities(docs: DataFrame, targets: dict | None = None, budget: float =
     rows = [tuple(r) for r in cells.limit(MOST_CELLS + 1).collect()]
     if len(rows) > MOST_CELLS:
         cells = rake_cells(materialize(cells, "cells"), targets, rounds)
-        # c by bisection on the few sums, as the cells don't fit the driver
-        total = cells.agg(F.sum("tokens")).first()[0]
-        low, high = 0.0, 1e6 * float(total)
-        for _ in range(60):
-            c = (low + high) / 2
-            kept = cells.agg(F.sum(F.least(F.col("tokens").cast("double"), F.lit(c) * F.col("weight")))).first()[0]
-            low, high = (c, high) if kept < budget * total else (low, c)
+        # the same c from sums: of the cells that it fills their tokens, of the others their weights, until it fills no more cells
+        total, weight = cells.agg(F.sum("tokens"), F.sum("weight")).first()
+        c = budget * total / weight if weight else 0.0
+        while True:
+            full = F.lit(c) * F.col("weight") >= F.col("tokens")
+            filled, rest = cells.where("tokens > 0").agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+            if not rest:
+                break
+            now = (budget * total - filled) / rest
+            if now <= c:
+                break
+            c = now
         return cells.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(0.0)))
     rows.sort(key=str)
     if not rows or not sum(r[-1] for r in rows):
@@ -172,8 +189,14 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, budget: float = BU
     cells = probabilities(rows.select("source", "lang", F.col(own).alias("topic"), F.col(tokens).alias("tokens")), targets, budget, rounds)
     cells = cells.select(F.col("source").alias(s), F.col("lang").alias(l), F.col("topic").alias(t), F.col("probability").alias(p))
     small = cells.limit(MOST_CELLS + 1).count() <= MOST_CELLS
-    same = F.col("source").eqNullSafe(F.col(s)) & F.col("lang").eqNullSafe(F.col(l)) & F.col(own).eqNullSafe(F.col(t))
-    kept = rows.join(F.broadcast(cells) if small else cells, same).where(draw(seed) < F.col(p))
+    if small:
+        same = F.col("source").eqNullSafe(F.col(s)) & F.col("lang").eqNullSafe(F.col(l)) & F.col(own).eqNullSafe(F.col(t))
+        kept = rows.join(F.broadcast(cells), same).where(draw(seed) < F.col(p))
+    else:  # a cell may hold a third of the texts
+        (key,) = fresh([*rows.columns, s, l, t, p], "_key")
+        cell = lambda *cols: F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(cols)]))  # noqa: E731  # leaves nulls out
+        left, right = rows.withColumn(key, cell("source", "lang", own)), cells.select(cell(s, l, t).alias(key), p)
+        kept = join_hot(left, right, [key], rows.count(), F.xxhash64("doc_id"), "inner").where(draw(seed) < F.col(p))
     return kept.select(*docs.columns, F.col(own).alias(out[0]), F.col(tokens).alias(out[1]), F.col(p).alias(out[2]))
 
 

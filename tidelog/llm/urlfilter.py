@@ -3,15 +3,19 @@
 List entries (key, day, action: 'block', 'allow' or 'remove') become validity intervals: an entry holds from its day until
 the day of the next entry of its key. A key is a host name, and covers the host and all its subdomains. Each capture is
 evaluated against the entries active at its fetch day; the entry of the longest key decides, and where none is active the
-capture is kept. Days are whole, and entries of one key and day are resolved before the interval window, so a key never
-brings more rows to that window than there are days, however many entries it has.
+capture is kept.
 
-The join is on (key, salt): keys that hold many captures are dealt to several groups (see join_hot); there is no cross join
-and no broadcast but of the bounded list of hot keys. Only DataFrame functions are used.
+The as-of join puts the captures of a key and the beginnings of its intervals in one order by day, where each capture takes the last
+beginning before it: one window, no pairs. The order is cut by months, so that a key is many groups: an interval has
+a beginning in its first month and one at the start of each later month that it reaches into, up to the last fetch day. Keys
+with many captures are dealt to several groups besides, each with all beginnings of the key. Days are whole, and entries of one
+key and day are resolved before, so a group never has more beginnings than a month has days, however many entries there are.
+
+There is no cross join and no broadcast but of the bounded list of hot keys. Only DataFrame functions are used.
 
 Defined results: captures without a URL, a host or a fetch day match nothing and are kept; rows that repeat are evaluated
 each for itself; of entries of one key and day 'remove' yields to 'allow', and 'allow' to 'block'; entries with a null key,
-day or action are ignored; extra columns of the captures stay.
+day or action are ignored; the captures' columns stay, and an added column whose name is taken gets underscores.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot
+from .common import fresh, hot_keys, materialize
 
 FOREVER = "9999-12-31"
+#: Groups to which the captures of a hot key are dealt.
+SALTS = 16
+ADDED = ("host", "verdict", "rule", "rule_since")
 
 
 def host_of(url: Column) -> Column:
@@ -41,20 +48,43 @@ def intervals(entries: DataFrame) -> DataFrame:
     return out.select("key", F.when(F.col("rank") == 2, "block").otherwise("allow").alias("action"), F.col("day").alias("since"), "until")
 
 
+def as_of(captures: DataFrame, listed: DataFrame) -> DataFrame:
+    """captures (id, key, day), listed (key, action, since, until): (id, key, action, since) of the interval active at each capture's day, if any."""
+    first, last = captures.agg(F.min("day"), F.max("day")).first()
+    hot = F.broadcast(hot_keys(captures, ["key"], captures.count()).withColumn("hot", F.lit(True)))
+    month = lambda day: F.trunc(day, "month")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
+    none = F.lit(None).cast("struct<action: string, since: date, until: date>")
+    at = captures.join(hot, "key", "left").select("key", month("day").alias("month"), salt.cast("int").alias("salt"), "day", F.lit(1).alias("late"), "id", none.alias("e"))
+    # an interval's beginnings: its own day, and the first days of the later months that it reaches into and that have captures at all
+    low = F.greatest(month("since"), F.lit(first).cast("date") if first is None else month(F.lit(first)))
+    high = F.least(F.date_sub("until", 1), F.lit(last).cast("date"))
+    parts = listed.where(F.col("since") <= F.lit(last).cast("date")).where(low <= high).withColumn("month", F.explode(F.sequence(low, month(high), F.expr("interval 1 month"))))
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    e = F.struct("action", "since", "until")
+    parts = parts.join(hot, "key", "left").withColumn("salt", salts).select("key", "month", "salt", F.greatest("since", "month").alias("day"), F.lit(0).alias("late"), F.lit(None).cast("long").alias("id"), e.alias("e"))
+    order = Window.partitionBy("key", "month", "salt").orderBy("day", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = at.unionByName(parts).withColumn("e", F.last("e", ignorenulls=True).over(order)).where("late = 1 and e is not null and day < e.until")
+    return joined.select("id", "key", "e.action", "e.since")
+
+
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures (url, fetch_day, anything else): add host, verdict ('block' or 'keep'), rule (the deciding key) and rule_since."""
-    rows = captures.withColumn("host", host_of(F.col("url"))).withColumn("_row", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
-    suffixes = F.expr("transform(sequence(1, size(_labels)), i -> array_join(slice(_labels, i, size(_labels)), '.'))")
-    keyed = rows.where("host is not null and fetch_day is not null").withColumn("_labels", labels).select("_row", "fetch_day", F.explode(suffixes).alias("key"))
-    listed = intervals(entries)
-    keyed = keyed.where(F.col("key").contains("."))  # a top-level name can't be listed
-    matched = join_hot(keyed, listed.where(F.col("key").contains(".")), ["key"], keyed.count(), F.xxhash64("_row"), "inner")
-    matched = matched.where((F.col("since") <= F.col("fetch_day")) & (F.col("fetch_day") < F.col("until")))
-    best = matched.groupBy("_row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action", "since")).alias("_best"))
-    out = rows.join(best, "_row", "left")
-    verdict = F.when(F.col("_best.action") == "block", "block").otherwise("keep")
-    return out.select(*captures.columns, "host", verdict.alias("verdict"), F.col("_best.key").alias("rule"), F.col("_best.since").alias("rule_since"))
+    """captures (url, fetch_day, anything else): add host, verdict ('block' or 'keep'), rule (the deciding key) and rule_since, by names that are free."""
+    own, taken = [F.col(f"`{c}`") for c in captures.columns], captures.columns
+    host, verdict, rule, since = fresh(taken, *ADDED)
+    row, best_, id_ = fresh([*taken, host, verdict, rule, since], "_row", "_best", "_id")
+    # written, so that a row has the same number in both its uses
+    rows = materialize(captures.select(*own, host_of(F.col("url")).alias(host), F.monotonically_increasing_id().alias(row)), "captures")
+    suffixes = F.expr("transform(sequence(1, size(l)), i -> array_join(slice(l, i, size(l)), '.'))")
+    keyed = rows.where(F.col(host).isNotNull() & F.col("fetch_day").isNotNull()).select(F.col(row).alias("id"), F.col("fetch_day").alias("day"), F.split(host, r"\.").alias("l"))
+    keyed = keyed.select("id", "day", F.explode(suffixes).alias("key")).where(F.col("key").contains("."))  # a top-level name can't be listed
+    listed = intervals(entries).where(F.col("key").contains("."))
+    keyed = keyed.join(listed.select("key").distinct(), "key", "left_semi")
+    matched = as_of(materialize(keyed, "keyed"), listed)
+    best = matched.groupBy(F.col("id").alias(id_)).agg(F.max(F.struct(F.length("key").alias("n"), "key", "action", "since")).alias(best_))
+    out = rows.join(best, F.col(row) == F.col(id_), "left")
+    blocked = F.when(F.col(f"{best_}.action") == "block", "block").otherwise("keep")
+    return out.select(*own, host, blocked.alias(verdict), F.col(f"{best_}.key").alias(rule), F.col(f"{best_}.since").alias(since))
 
 
 # The tables have no fetch days and no lists. These rules derive both from urls, the same in Spark and in SQL.
