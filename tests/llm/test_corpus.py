@@ -219,8 +219,21 @@ def test_decontamination_edges(spark, monkeypatch):
     assert (none.n_words, none.n_hit, none.contaminated) == (2, 0, False)
 
 
+def common_in_order(a, b):
+    """Longest common subsequence by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
 def test_near_duplicates_against_all_pairs(spark, frames):
+    """Classes of the pairs whose alignment of words reaches 0.8; these hold all pairs with 0.8 of their five-word runs in common."""
     d = frames["documents"]
+    words = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in zip(d.doc_id, d.text)}
+    bags = {i: collections.Counter(w) for i, w in words.items()}
     sets = {i: shingle_set(t) for i, t in zip(d.doc_id, d.text)}
     root = {i: i for i in sets}
 
@@ -229,13 +242,38 @@ def test_near_duplicates_against_all_pairs(spark, frames):
             x = root[x]
         return x
 
+    runs = []
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+            if a < b and words[a] and words[b]:
+                n = len(words[a]) + len(words[b])
+                if sum((bags[a] & bags[b]).values()) * 1.8 >= 0.8 * n - 1e-9:
+                    m = common_in_order(words[a], words[b])
+                    if m >= 0.8 * (n - m) - 1e-9:
+                        x, y = find(a), find(b)
+                        root[max(x, y)] = min(x, y)
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    runs.append((a, b))
     got = {r.doc_id: r.class_id for r in queries.queries()["op6_near_duplicates"](spark, SF).collect()}
     assert got == {i: find(i) for i in sets}
+    assert runs and all(got[a] == got[b] for a, b in runs)
+
+
+@pytest.mark.parametrize("share, least", [(0.01, 1.0), (0.03, 0.99), (0.05, 0.97), (0.1, 0.9)])
+def test_recall_by_share_of_edited_words(spark, share, least):
+    """Pairs of a text and one copy: words changed, left out and put in, each a third of the edits."""
+    r = random.Random(int(share * 1000))
+    texts = []
+    for k in range(300):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for e in range(int(share * 200)):
+            at = r.randrange(len(words))
+            words[at : at + (e % 3 != 1)] = [] if e % 3 == 2 else [f"e{r.randrange(10**6)}"]
+        texts.append(" ".join(words))
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= least * 300
+    assert len(set(got.values())) >= 300
 
 
 def test_near_duplicate_groups_and_edges(spark):
@@ -272,6 +310,26 @@ def test_alignment_equals_full_table():
         assert neardup.similarity(a, b) == pytest.approx(s if s >= 0.8 else 0.0)
 
 
+def test_quick_answers_agree_with_the_alignment():
+    r = np.random.default_rng(6)
+    for _ in range(400):
+        a = r.integers(0, 80, r.integers(1, 60)).astype(np.uint64)
+        b = a.copy()
+        for _ in range(r.integers(0, 12)):
+            at = r.integers(0, len(b) + 1)
+            b = r.choice([0, 1, 2]) and np.concatenate([b[:at], r.integers(0, 80, 1).astype(np.uint64), b[at + r.integers(0, 2) :]]) if len(b) else a.copy()
+            b = np.atleast_1d(np.asarray(b, np.uint64))
+        assert neardup._anchored(a, b) <= common_in_order(a.tolist(), b.tolist())
+        assert neardup.near(a, b) == (neardup.similarity(a, b) > 0)
+
+
+def test_rows_that_repeat_an_id(spark):
+    texts = [prose(70, 80), prose(71, 80), prose(71, 80), prose(72, 80), None, ""]
+    docs = docs_of(spark, texts, [1, 1, 2, 3, 3, None]).withColumn("m", F.create_map(F.lit("a"), F.lit(1))).withColumn("id", F.lit(9)).withColumn("_id", F.lit(8))
+    kept = sorted((str(r.doc_id), r.text or "") for r in neardup.keep_representatives(docs).collect())
+    assert [i for i, _ in kept] == ["1", "3", "None"] and kept == sorted((str(r.doc_id), r.text or "") for r in neardup.keep_representatives(docs.repartition(3)).collect())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 103), (101, 103), (102, 103), (7, 7)]
     got = {r.id: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}

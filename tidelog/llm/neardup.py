@@ -1,27 +1,31 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-The k-mers of a text are its runs of five words, labelled by their occurrence (first, second, ... of the same five words).
-Each of ``SKETCHES`` hash functions picks the ``PICKS`` least k-mers and keeps them in text order; the hash of that ordered
-tuple is a bucket. Two texts meet in a bucket only if the same k-mers come in the same order, which follows edit similarity
-more closely than plain MinHash. Two texts are near-duplicates if the alignment of their sequences of five-word runs matches
-M of them with ``M / (n + m - M) >= 0.8``: a Jaccard similarity that respects order. Texts whose plain Jaccard similarity is
-lower are rejected first, as the alignment can't reach it.
-
-Exact copies are one class before sketching counts. In each bucket, and in each part of a bucket that agrees on the next
-sketch too, every text is first paired with one leader, the least by a random rank. Leaders come from partial aggregates, so
-that a bucket of any size is handled by as many tasks as there are. The first ``FIRST`` sketches are verified and their links
-contracted before pairs of the other sketches are verified, and of those only pairs whose texts aren't connected yet. Links are
-contracted to classes by alternating star operations in Spark.
-
-Leaders link most of a class, not all of it. What is left are buckets whose texts are in several classes. All their pairs across classes
-are compared by signatures, parity bitmaps of the labelled k-mers: two of them differ in no more bits than the texts differ in
-k-mers, so a pair whose signatures differ too much can't be near-duplicates, and no other pair is given up. Such buckets are
-dealt in blocks of about ``BLOCK`` texts, each pair of blocks a group of its own. Of the remaining pairs each text's ``limit`` nearest are
-verified and contracted; rounds with a growing limit follow until no pair of a bucket is unverified and unconnected.
-
-Defined results: texts without words are classes of their own, even if equal; one to four words are one run; null ids form
-classes by equal text only, and their class_id is null unless a copy has an id; rows that repeat an id are one document
-and share a class; extra columns are ignored. A class is named by its least doc_id.
+Two texts are near-duplicates if an alignment of their words matches M of them in order with ``M / (n + m - M) >= 0.8``: a
+similarity that follows edits, and that every pair with 0.8 or more of its five-word runs in common and in order reaches too.
+
+Candidates: the k-mers of a text are its runs of ``WORDS`` words, labelled by their occurrence (first, second, ... of the same
+words). Each of ``SKETCHES`` hash functions picks the ``PICKS`` least k-mers and keeps them in text order; the hash of that
+ordered tuple is a bucket. Two texts meet in a bucket only if the same k-mers come in the same order. Short k-mers keep most
+of their picks through scattered edits: at a similarity of 0.8, which one word in nine changed gives, two texts share one of
+the sketches with a probability of 0.94, at 0.85 of 0.99, at 0.9 of 0.9999.
+
+Exact copies are one class before sketching counts. Every text of a bucket is first paired with one leader, the one with the
+least id, so that a bucket of any size is handled by as many tasks as there are, and a group of copies has few distinct pairs.
+The links that alignment confirms are contracted to classes by alternating star operations in Spark.
+
+Leaders link most of a class, not all of it. What is left are buckets whose texts are in several classes. All their pairs across
+classes are compared by their lengths and by signatures, parity bitmaps of the labelled words: two of them differ in no more bits
+than the texts differ in words, so a pair whose signatures differ too much can't be near-duplicates, and no other pair is given up.
+Such buckets are dealt in blocks of about ``BLOCK`` texts, each pair of blocks a group of its own. Of the remaining pairs each
+text's ``limit`` nearest are verified and contracted; rounds with a growing limit follow until no pair of a bucket is unverified
+and unconnected.
+
+Joins on keys that may be hot (buckets, ids of leaders, hashes of copies) are between written tables, where adaptive execution
+splits a skewed partition.
+
+Defined results: texts without words are classes of their own, even if equal; texts of fewer words than a k-mer are one k-mer;
+null ids form classes by equal text only, and their class_id is null unless a copy has an id; rows that repeat an id are one
+document and share a class; extra columns are ignored. A class is named by its least doc_id.
 """
 
 from __future__ import annotations
@@ -30,16 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_hot, materialize, ship, text_of, texts_in
+from .common import BROADCAST_ROWS, fresh, materialize, ship, text_of, texts_in
 from .tokens import BASE, U64, chunks, mix, shingles, tokenize
 
-WORDS = 5
-SIMILARITY = 0.8
+#: Words of a k-mer, sketches, and k-mers that each of them picks.
+WORDS = 3
 SKETCHES, PICKS = 16, 3
-FIRST = 4
+SIMILARITY = 0.8
 #: Bits of a signature; texts of a block; pairs verified for a text in the first round, and by how much more in each later one.
 BITS, BLOCK, NEAREST, MORE = 2048, 2000, 4, 8
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * U64(BASE))
@@ -74,20 +78,29 @@ def sketch(runs: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature(words: np.ndarray) -> np.ndarray:
+    """Of each bit, whether the number of labelled words that fall on it is odd."""
+    with np.errstate(over="ignore"):
+        labelled = mix(words + occurrences(words).astype(U64) * U64(BASE))
+    odd = np.bincount((labelled % U64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = texts_in(batch)
         out = np.zeros((len(texts), SKETCHES), np.int64)
-        worded = np.zeros(len(texts), bool)
+        n, signs = np.zeros(len(texts), np.int64), [b""] * len(texts)
         for a, b in chunks(texts):
             t = tokenize(texts[a:b], digits=True)
             for k in range(b - a):
                 words = t.hash[t.of(k)]
+                n[a + k] = len(words)
                 if len(words):
-                    worded[a + k] = True
                     out[a + k] = sketch(shingles(words, WORDS)).view(np.int64)
-        columns = [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(worded), *(pa.array(out[:, i]) for i in range(SKETCHES))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "worded", *(f"s{i}" for i in range(SKETCHES))])
+                    signs[a + k] = signature(words).tobytes()
+        columns = [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(n), pa.array(signs, pa.binary()), *(pa.array(out[:, i]) for i in range(SKETCHES))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n", "sign", *(f"s{i}" for i in range(SKETCHES))])
 
 
 def _longest_common(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -120,28 +133,51 @@ def _longest_common(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return i + j + int(row.max())
 
 
+def _anchored(a: np.ndarray, b: np.ndarray) -> int:
+    """Matches in order that are found at once: from elements that are single in both, along each one's diagonal up to the next. 0 if those change places."""
+    ua, ia, ca = np.unique(a, return_index=True, return_counts=True)
+    ub, ib, cb = np.unique(b, return_index=True, return_counts=True)
+    _, xa, xb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    single = (ca[xa] == 1) & (cb[xb] == 1)
+    pa_, pb = ia[xa][single], ib[xb][single]
+    order = np.argsort(pa_)
+    pa_, pb = pa_[order], pb[order]
+    if not len(pa_) or (np.diff(pb) <= 0).any():
+        return 0
+    own = np.searchsorted(pa_, np.arange(len(a)), "right") - 1  # the anchor before each place of a
+    at = np.where(own >= 0, np.arange(len(a)) - pa_[own] + pb[own], -1)
+    until = np.append(pb[1:], len(b))[own]
+    ok = (at >= 0) & (at < until)
+    return int(np.count_nonzero(a[ok] == b[at[ok]]))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Ordered Jaccard similarity of two sequences of runs; 0 if it is under ``least``."""
+    """M / (n + m - M) for two sequences whose alignment matches M elements in order; 0 if it is under ``least``."""
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < least * max(n, m):
         return 0.0
-    ua, ia = np.unique(a, return_index=True)
-    ub, ib = np.unique(b, return_index=True)
-    _, xa, xb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     need = least / (1 + least) * (n + m)
-    plain = len(ua) == n and len(ub) == m
-    if plain:
-        if len(xa) < need - 1e-9:
-            return 0.0
-        order = np.argsort(ia[xa])
-        if (np.diff(ib[xb][order]) > 0).all():  # no repeated runs, all common ones in one order: the alignment matches them all
-            return len(xa) / (n + m - len(xa))
+    ua, ca = np.unique(a, return_counts=True)
+    ub, cb = np.unique(b, return_counts=True)
+    _, xa, xb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    if np.minimum(ca[xa], cb[xb]).sum() < need - 1e-9:  # not enough in common in any order
+        return 0.0
     most = int(max(n, m) - need) + 1
     found = _longest_common(a, b, max(most, abs(n - m)))
     out = found / (n + m - found)
     return out if out >= least - 1e-12 else 0.0
 
 
+def near(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Is their similarity ``least`` or more? Answered by matches along anchors where these suffice, else by the alignment."""
+    n, m = len(a), len(b)
+    if n and m and min(n, m) >= least * max(n, m):
+        found = _anchored(a, b)
+        if found and found / (n + m - found) >= least:
+            return True
+    return similarity(a, b, least) > 0
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = np.zeros(batch.num_rows, bool)
@@ -149,71 +185,50 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for a, b in chunks([range(len(x) + len(y)) for x, y in zip(left, right, strict=True)]):
             ta, tb = tokenize(left[a:b], digits=True), tokenize(right[a:b], digits=True)
             for k in range(b - a):
-                good[a + k] = similarity(shingles(ta.hash[ta.of(k)], WORDS), shingles(tb.hash[tb.of(k)], WORDS)) > 0
+                good[a + k] = near(ta.hash[ta.of(k)], tb.hash[tb.of(k)])
         yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are near-duplicates. Only texts of documents in pairs are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids (id, distinct), which are broadcast if they are few."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long")
-
-
-def pairs_of(rows: DataFrame, n_rows: int) -> DataFrame:
-    """rows (id, bucket, part): pairs (a, b) of each id with the leader of its bucket and of its part, a < b, each once."""
-    out = []
-    for keys in (["bucket"], ["bucket", "part"]):
-        leader = F.min(F.struct(F.xxhash64("bucket", "id").alias("rank"), F.col("id").alias("id")))
-        leaders = rows.groupBy(*keys).agg(leader.alias("_l"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*keys, F.col("_l.id").alias("_a"))
-        pairs = join_hot(rows, leaders, keys, n_rows, F.xxhash64("id"), "inner").where("_a <> id")
-        out.append(pairs.select(F.least("_a", "id").alias("a"), F.greatest("_a", "id").alias("b")))
-    return out[0].union(out[1]).distinct()
-
-
-def signature(runs: np.ndarray) -> np.ndarray:
-    """Of each bit, whether the number of labelled k-mers that fall on it is odd."""
-    with np.errstate(over="ignore"):
-        labelled = mix(runs + occurrences(runs).astype(U64) * U64(BASE))
-    odd = np.bincount((labelled % U64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
-def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = texts_in(batch)
-        n, signs = [], []
-        for a, b in chunks(texts):
-            t = tokenize(texts[a:b], digits=True)
-            for k in range(b - a):
-                runs = shingles(t.hash[t.of(k)], WORDS)
-                n.append(len(runs))
-                signs.append(signature(runs).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(signs, pa.binary())], names=["id", "n", "sign"])
+def verified(docs: DataFrame, pairs: DataFrame, repeats: bool = False) -> DataFrame:
+    """The pairs (a, b) of ids whose texts are near-duplicates. Only texts of documents in pairs are shuffled. repeats: do rows repeat an id?"""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = only(docs.select(F.col("doc_id").alias("id"), text_of().alias("text")), ids)
+    if repeats:
+        texts = texts.distinct()
+    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long")
 
 
 def near_pairs(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, signs: np.ndarray, limit: int) -> list[tuple[int, int, bool]]:
     """(a, b, cut): of each text the ``limit`` nearest of those in other classes that may be near-duplicates; cut: it has more of them."""
     out = []
+    order = np.argsort(n, kind="stable")  # by length, so that each step meets only texts of a length that may do
+    ids, roots, n, signs = ids[order], roots[order], n[order], signs[order]
     step = max(1, 2_000_000 // signs.size)
     for x in range(0, len(ids), step):
         here = slice(x, x + step)
-        may = (roots[here, None] != roots) & (np.minimum(n[here, None], n) >= SIMILARITY * np.maximum(n[here, None], n) - 1e-6)
+        low, high = np.searchsorted(n, SIMILARITY * n[x] - 1e-6), np.searchsorted(n, n[here][-1] / SIMILARITY + 1e-6, "right")
+        to_n, to_ids = n[low:high], ids[low:high]
+        may = (roots[here, None] != roots[low:high]) & (np.minimum(n[here, None], to_n) >= SIMILARITY * np.maximum(n[here, None], to_n) - 1e-6)
         if not may.any():
             continue
-        differ = np.bitwise_count(signs[here, None] ^ signs).sum(2, dtype=np.int64)
+        differ = np.bitwise_count(signs[here, None] ^ signs[low:high]).sum(2, dtype=np.int64)
         # a similarity of s takes 2 s / (1 + s) of n + m in common, so this much may differ
-        may &= differ <= (n[here, None] + n) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
+        may &= differ <= (n[here, None] + to_n) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
         for k in np.flatnonzero(may.any(axis=1)):
             to = np.flatnonzero(may[k])
             cut = len(to) > limit
             if cut:
                 to = to[np.argsort(differ[k, to], kind="stable")[:limit]]
             a = int(ids[x + k])
-            out.extend((min(a, b), max(a, b), cut) for b in ids[to].tolist())
+            out.extend((min(a, b), max(a, b), cut) for b in to_ids[to].tolist())
     return out
 
 
@@ -246,26 +261,30 @@ def _near_batches(limit: int):
     return run
 
 
-def several(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Of rows (id, bucket, root) those of the buckets whose ids are in several classes."""
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("bucket")
-    return join_hot(rows, mixed, ["bucket"], n_rows, F.xxhash64("id"), "inner")
+def buckets(known: DataFrame) -> DataFrame:
+    """known (id, root, s0, s1, ...): (id, root, bucket), a row for each sketch."""
+    of = F.array(*[F.xxhash64(F.lit(i), f"s{i}") for i in range(SKETCHES)])
+    return known.select("id", "root", F.explode(of).alias("bucket"))
+
 
+def leader_pairs(rows: DataFrame, n_rows: int) -> DataFrame:
+    """rows (id, bucket): pairs (a, b) of each id with the least id of its bucket, a < b, each once."""
+    leaders = materialize(rows.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("_z")).where("a <> _z").select("bucket", "a"), "leaders", n_rows)
+    return rows.join(leaders, "bucket").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
-def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows with the root of their id: itself if it has no links."""
-    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """Of rows (id, root, bucket): the buckets whose ids are in several classes, with their largest class and the blocks it and the rest take."""
+    count = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    count = count.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return count.select("bucket", F.col("m.root").alias("main"), F.ceil(F.col("m.c") / BLOCK).alias("p"), F.ceil((F.col("c") - F.col("m.c")) / BLOCK).alias("q"))
 
 
 def blocks(rows: DataFrame, signs: DataFrame) -> DataFrame:
-    """rows (id, bucket, root): (g, id, root, n, sign), where any two ids of a bucket that are in different classes share a group g.
+    """rows (id, root, bucket, main, p, q): (g, id, root, n, sign), where any two ids of a bucket that are in different classes share a group g.
 
     The largest class of a bucket and the rest are dealt to blocks apart, so that a few texts beside a large class are few pairs.
     """
-    count = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    count = count.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"))
-    shape = count.select("bucket", F.col("m.root").alias("main"), F.ceil(F.col("m.c") / BLOCK).alias("p"), F.ceil((F.col("c") - F.col("m.c")) / BLOCK).alias("q"))
-    rows = join_hot(rows, shape, ["bucket"], rows.count(), F.xxhash64("id"), "inner").join(signs, "id")
     in_main = F.col("root") == F.col("main")
     k = F.pmod(F.xxhash64("id"), F.when(in_main, F.col("p")).otherwise(F.col("q")))
     rows = rows.withColumn("k", k)
@@ -276,33 +295,30 @@ def blocks(rows: DataFrame, signs: DataFrame) -> DataFrame:
             F.filter(to("q", lambda j: F.when(j != F.col("k"), F.xxhash64("bucket", F.lit(1), F.least(j, "k"), F.greatest(j, "k")))), lambda g: g.isNotNull()),
         )
     )
-    return rows.select(F.explode(groups).alias("g"), "id", "root", "n", "sign")
+    return rows.select(F.explode(groups).alias("g"), "id", "root").join(signs, "id").select("g", "id", "root", "n", "sign")
 
 
-def rest(docs: DataFrame, rows: DataFrame, n_rows: int, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """The roots after all pairs of rows (id, bucket, root) that share a bucket are connected, or verified, or differ too much by their signatures."""
-    open_ = materialize(several(rows, n_rows), "open")
-    if open_.isEmpty():
-        return roots
-    ids = open_.select("id").distinct()
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    signs = materialize(texts.mapInArrow(_signature_batches, "id long, n long, sign binary").distinct(), "signs")
+def rest(docs: DataFrame, known: DataFrame, n_rows: int, signs: DataFrame, links: DataFrame, roots: DataFrame, repeats: bool) -> DataFrame:
+    """The roots after all pairs of known (id, s0, s1, ...) that share a bucket are connected, or verified, or differ too much by their lengths and signatures."""
     limit, tested = NEAREST, None
     while True:
-        found = blocks(open_, signs).repartition("g").sortWithinPartitions("g").mapInArrow(_near_batches(limit), "a long, b long, cut boolean")
-        found = materialize(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "near")
+        rows = buckets(known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        shape = materialize(open_buckets(rows), "open", n_rows)
+        if shape.isEmpty():
+            return roots
+        rows = materialize(rows.join(shape, "bucket"), "unlinked", n_rows)
+        own = only(signs, rows.select("id").distinct())
+        found = blocks(rows, own).repartition("g").sortWithinPartitions("g").mapInArrow(_near_batches(limit), "a long, b long, cut boolean")
+        found = materialize(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "near", n_rows)
         pairs = found.select("a", "b")
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(verified(docs, pairs), "links")
+        if tested is not None:
+            pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs", n_rows)
+        more = materialize(verified(docs, pairs, repeats), "links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links, "stars")
         if found.where("cut").isEmpty():
             return roots
-        open_ = materialize(several(rooted(open_.select("id", "bucket"), roots), open_.count()), "open")
-        if open_.isEmpty():
-            return roots
         tested = pairs if tested is None else tested.union(pairs)
         limit *= MORE
 
@@ -312,21 +328,21 @@ def components(edges: DataFrame, name: str, most_rounds: int | None = None) -> D
 
     Alternating large-star and small-star: in each round every id links its larger neighbours, then its smaller ones, to its
     least neighbour, until the links are stars. Stars and the near-stars that leaders make take two or three rounds. Without
-    ``most_rounds`` there is no bound; with it, links that aren't stars by then are an error.
+    ``most_rounds`` there is no bound; with it, links that aren't stars by then are an error. The centre of a large star is met
+    as the key of a join between two written tables, which is split where it is skewed.
     """
-    current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    n = edges.count()
+    current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name, n)
     state, rounds = None, 0
     while True:
         if rounds == most_rounds:
             raise RuntimeError(f"links aren't stars after {most_rounds} rounds")
         rounds += 1
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        current = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
+        least = materialize(current.groupBy("u").agg(F.min("v").alias("m")), "least", n)
+        large = current.join(least.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_k"), F.col("u").alias("_u"))
+        current = materialize(small.select(F.when(F.col("_k") == 0, F.col("u")).otherwise(F.col("_u")).alias("u"), "v").distinct(), name, n)
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -341,57 +357,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ship(spark)
     text = text_of()
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
-    schema = "doc_id long, k1 long, k2 long, worded boolean, " + ", ".join(f"s{i} long" for i in range(SKETCHES))
+    schema = "doc_id long, k1 long, k2 long, n long, sign binary, " + ", ".join(f"s{i} long" for i in range(SKETCHES))
     sketched = materialize(keyed.mapInArrow(_sketch_batches, schema), "sketches")
-    worded = sketched.where("worded")
-    exact = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCHES)])
-    exact = materialize(exact, "exact")
-    known = exact.where("id is not null")
-
-    n = known.count()
-
-    def buckets(of: range, known: DataFrame = known) -> DataFrame:
-        parts = F.array(*[F.struct(F.xxhash64(F.lit(i), f"s{i}").alias("bucket"), F.col(f"s{(i + 1) % SKETCHES}").alias("part")) for i in of])
-        return known.withColumn("p", F.explode(parts)).select("id", "p.bucket", "p.part", *(["root"] if "root" in known.columns else []))
-
-    def candidates(of: range) -> DataFrame:
-        return pairs_of(buckets(of), n * len(of))
+    worded = sketched.where("n > 0")
+    n = sketched.count()
+    exact = materialize(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("c"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCHES)]), "exact", n)
+    known = exact.where("id is not null").select("id", *[f"s{i}" for i in range(SKETCHES)])
 
     # rows that repeat an id with other texts are one document: its texts' classes are linked
-    repeated = worded.where("doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y"), F.min("k2").alias("z"), F.max("k2").alias("w")).where("x <> y or z <> w").select("doc_id")
-    same = []
-    if not repeated.isEmpty():
-        own = worded.join(repeated, "doc_id", "left_semi").join(known.select("k1", "k2", "id"), ["k1", "k2"])
+    repeated = worded.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("k1").alias("x"), F.max("k1").alias("y"), F.min("k2").alias("z"), F.max("k2").alias("w"))
+    repeated = materialize(repeated.where("c > 1").select("doc_id", F.expr("x <> y or z <> w").alias("other")), "repeated", n)
+    repeats = not repeated.isEmpty()
+    links = verified(docs, materialize(leader_pairs(buckets(known.withColumn("root", F.lit(0))), n * SKETCHES), "pairs", n * SKETCHES), repeats)
+    if repeats:
+        own = worded.join(repeated.where("other"), "doc_id", "left_semi").join(exact.select("k1", "k2", "id"), ["k1", "k2"])
         least = own.groupBy("doc_id").agg(F.min("id").alias("a"))
-        same = [own.join(least, "doc_id").where("a <> id").select("a", F.col("id").alias("b"))]
-
-    first = materialize(candidates(range(FIRST)), "pairs")
-    links = verified(docs, first)
-    for more in same:
-        links = links.union(more)
+        links = links.union(own.join(least, "doc_id").where("a <> id").select("a", F.col("id").alias("b")))
     links = materialize(links, "links")
     roots = components(links, "stars")
-    second = candidates(range(FIRST, SKETCHES)).join(first, ["a", "b"], "left_anti")
-    second = second.join(roots.select(F.col("id").alias("a"), F.col("root").alias("_ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("_rb")), "b", "left")
-    second = materialize(second.where("coalesce(_ra, a) <> coalesce(_rb, b)").select("a", "b"), "pairs")
-    more = materialize(verified(docs, second), "links")
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = components(links, "stars")
-    roots = rest(docs, buckets(range(SKETCHES), rooted(known, roots)).select("id", "bucket", "root"), n * SKETCHES, links, roots)
-    groups = exact.select("k1", "k2", "id", "n").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("class_id"), "n")
-    sizes = groups.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    groups = groups.join(sizes, "class_id", "left").select("k1", "k2", "class_id", F.coalesce("class_size", "n").alias("class_size"))
-    out = join_hot(sketched.select("doc_id", "k1", "k2", "worded"), groups.withColumn("worded", F.lit(True)), ["k1", "k2", "worded"], sketched.count(), F.xxhash64("doc_id"))
-    return out.select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("worded"), F.col("class_size")).otherwise(F.lit(1)).cast("long").alias("class_size"))
+    signs = worded.where("doc_id is not null").select(F.col("doc_id").alias("id"), "n", "sign")
+    roots = rest(docs, known, n * SKETCHES, signs.distinct() if repeats else signs, links, roots, repeats)
+
+    groups = materialize(exact.select("k1", "k2", "id", "c").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("class_id"), "c"), "groups", n)
+    sizes = materialize(groups.where("class_id is not null").groupBy("class_id").agg(F.sum("c").alias("class_size"), F.count(F.lit(1)).alias("t")).where("t > 1").drop("t"), "sizes", n)
+    groups = groups.join(sizes, "class_id", "left").select("k1", "k2", "class_id", F.coalesce("class_size", "c").alias("class_size"))
+    bare = sketched.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return worded.select("doc_id", "k1", "k2").join(groups, ["k1", "k2"]).select("doc_id", "class_id", "class_size").union(bare)
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns, one of each class: that with the least doc_id. Rows without an id stay; of rows that repeat an id one stays."""
-    classes = materialize(near_duplicates(docs).where("doc_id is not null"), "classes")
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
+    """The documents with all their columns, one of each class: that with the least doc_id. Rows without an id stay; of rows that repeat an id the one with the least hash of its columns stays."""
+    classes = materialize(near_duplicates(docs).where("doc_id is not null").select("doc_id", "class_id"), "classes", docs.count())
+    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
+    (own,) = fresh(docs.columns, "id")
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
-    if classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+    gone = gone.withColumnRenamed("id", own)
+    out = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col(own), "left_anti").select(*docs.columns)
+    twice = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    if twice.isEmpty():
         return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    rank, other = fresh(docs.columns, "_rank", "_id")
+    again = F.broadcast(twice.withColumnRenamed("doc_id", other)) if twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else twice.withColumnRenamed("doc_id", other)
+    same = F.col("doc_id") == F.col(other)
+    order = F.xxhash64(*[c for c in docs.columns if not dict(docs.dtypes)[c].startswith("map")]), text_of()
+    ranked = out.join(again, same, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    return out.join(again, same, "left_anti").select(*docs.columns).union(ranked.where(F.col(rank) == 1).select(*docs.columns))
