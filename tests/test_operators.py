@@ -70,7 +70,7 @@ def test_many_range_deletes_take_the_segment_path(spark, monkeypatch):
     log = log_of(spark, [put(f"k{i:03d}", i + 1, "v") for i in range(200)])
     ranges = spark.createDataFrame([("default", f"k{i:03d}", f"k{i + 7:03d}", 500) for i in range(0, 200, 20)], RANGE_DEL)
     want = sorted(live(resolve.resolve(log, ranges, now=0).select("key", "value")))
-    monkeypatch.setattr(resolve, "BROADCAST_RANGES", 3)
+    monkeypatch.setattr(resolve, "FEW_RANGES", 3)
     monkeypatch.setattr(resolve, "SEGMENTS", 4)
     assert sorted(live(resolve.resolve(log, ranges, now=0).select("key", "value"))) == want and len(want) == 130
 
@@ -186,3 +186,34 @@ def test_random_mutations_match_a_dict(spark):
         want = {k: v[5] for k, v in want.items() if v[4] != "del" and (v[6] == 0 or 100 < v[6])}
         got = dict(live(resolve.resolve(log_of(spark, rows), spark.createDataFrame(ranges, RANGE_DEL), bound, 100).select("key", "value")))
         assert got == want
+
+
+def test_range_deletes_against_every_range(spark, monkeypatch):
+    """Overlapping and nested ranges of several families, by pieces and by trying each."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 4)))
+    rows = [(r.choice(["c", "d"]), word() if k % 3 else "hot" + str(k % 2), k, "v") for k in range(400)]
+    ranges = [(r.choice(["c", "d"]), *sorted((word(), word())), r.randrange(400)) for _ in range(90)]
+    want = sorted(x for x in rows if not any(c == x[0] and lo <= x[1] < hi and s > x[2] for c, lo, hi, s in ranges))
+    a, b = spark.createDataFrame(rows, "cf string, key string, seq long, value string"), spark.createDataFrame(ranges, RANGE_DEL)
+    for few in (64, 1000):
+        monkeypatch.setattr(resolve, "FEW_RANGES", few)
+        assert sorted(tuple(x) for x in resolve.uncovered(a, b).collect()) == want
+    monkeypatch.setattr(resolve, "FEW_RANGES", 0)
+    binary = lambda df, *cs: df.select(*[F.col(c).cast("binary").alias(c) if c in cs else c for c in df.columns])
+    assert resolve.uncovered(binary(a, "key"), binary(b, "lo", "hi")).count() == len(want)
+
+
+def test_conflicts_and_retention_never_pair_versions(spark):
+    """The plans hold no join, and agree with counting by hand on a hot key."""
+    rows = [put("k", s, "v") for s in range(1, 300)] + [put("m", 300, "v")]
+    log = log_of(spark, rows)
+    tx = spark.createDataFrame([(i, "default", "k", 10 * i, 10 * i + 25) for i in range(20)] + [(99, "default", "none", 1, 5), (98, "default", "k", 50, 40)], "tx long, cf string, key string, horizon long, commit long")
+    got = {r.tx: r.n_conflicts for r in txn.conflicts(tx, log).collect()}
+    assert got == {i: sum(10 * i < s <= 10 * i + 25 for s in range(1, 300)) for i in range(20)} | {99: 0, 98: 0}
+    kept = {(r.key, r.seq) for r in compaction.retain_for_snapshots(log, [5, 100, 1000]).collect()}
+    assert kept == {("k", 5), ("k", 100), ("k", 299), ("m", 300)}
+    assert {(r.key, r.seq) for r in compaction.retain_versions(log, 290).collect()} == {("k", s) for s in range(291, 300)} | {("m", 300)}
+    for df in (txn.conflicts(tx, log), compaction.retain_for_snapshots(log, [5]), compaction.retain_versions(log, 9, True)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan

@@ -1,6 +1,8 @@
 import asyncio
+import datetime
 import json
 import threading
+import time
 import urllib.request
 
 import pytest
@@ -11,8 +13,8 @@ from tidelog.functions.metrics import Metrics, counters, prometheus
 from tidelog.operators.txn import ConflictError, WriteBatch
 from tidelog.schema import LOG
 from tidelog.sources.http import AsyncStore, serve
-from tidelog.sources.store import CommitConflict, Store, UnknownColumnFamily
-from tidelog.streaming.replicate import latest_stream, replicate
+from tidelog.sources.store import CommitConflict, Compactor, Store, UnknownColumnFamily
+from tidelog.streaming.replicate import FollowerBehind, catch_up, expiring_stream, latest_stream, replicate
 
 
 @pytest.fixture
@@ -143,3 +145,89 @@ def test_bloom(spark):
     one = BloomFilter(1)
     one.insert("a")
     assert one.bits == 64 and one.may_contain(["a"]).all()
+
+
+def test_torn_commits_and_writers_that_die(spark, store):
+    store.put("a", "1")
+    n = len(store._commits)
+    rows = spark.createDataFrame([("default", "x", 9, 0, "put", "lost", 0)], LOG)
+    store._write(rows)  # died before its commit
+    store._fs.create(store._file(n), False).close()  # torn
+    again = Store(spark, store.path, ("default", "meta"), now=0)
+    assert again.get("a") == "1" and again.get("x") is None
+    again.put("b", "2")
+    assert Store(spark, store.path, (), now=0).get("b") == "2"
+
+
+def test_levels_vacuum_and_background(store):
+    for i in range(9):
+        store.put(f"k{i % 3}", str(i))
+    store.delete("k0")
+    want = [(r.key, r.value) for r in store.iterate().collect()]
+    assert store.maintain() >= 1 and not store.levels()[0] and any(store.levels()[1:])
+    assert [(r.key, r.value) for r in store.iterate().collect()] == want == [("k1", "7"), ("k2", "8")]
+    assert store.log().count() == 2  # the tombstone went with the last level
+    kept = store.cached_state()
+    assert kept is store.cached_state() and kept.count() == 2
+    assert store.vacuum() == [] and len(store.vacuum(0)) >= 10
+    assert [(r.key, r.value) for r in store.iterate().collect()] == want
+    with Compactor(store, 0.1) as worker:
+        for i in range(5):
+            try:
+                store.put("z", str(i))
+            except CommitConflict:
+                store._refresh()
+                store.put("z", str(i))
+        for _ in range(100):
+            if worker.jobs:
+                break
+            time.sleep(0.2)
+    assert worker.jobs and not worker.errors
+    assert store.get("z") == "4"
+    assert kept is not store.cached_state()
+
+
+def test_replica_of_range_deletes_expiry_and_lost_checkpoints(spark, store, tmp_path):
+    for k in "abcd":
+        store.put(k, k)
+    store.put_with_ttl("e", "e", 500, 1000)
+    store.delete_range("a", "c")
+    store.put("a", "again")
+    replica = Store(spark, f"file://{tmp_path}/replica", (), now=0)
+    run = lambda k: replicate(spark, store.path, replica, f"{tmp_path}/cp{k}").awaitTermination()
+    rows = lambda s: [(r.key, r.seq, r.value) for r in s.iterate().collect()]
+    run(0)
+    assert rows(replica) == rows(store) == [("a", 7, "again"), ("c", 3, "c"), ("d", 4, "d"), ("e", 5, "e")]
+    replica.now = store.now = 2000
+    assert [k for k, _, _ in rows(replica)] == ["a", "c", "d"]
+    store.put("f", "f")
+    n = len(replica._commits)
+    run(1)  # a fresh checkpoint
+    assert rows(replica) == rows(store) and len(replica._commits) == n + 1
+    run(1)
+    assert len(replica._commits) == n + 1 and replica.list_cfs() == store.list_cfs()
+    store.put("g", "g")
+    store.compact()
+    store.vacuum(0)
+    with pytest.raises(FollowerBehind):
+        catch_up(spark, store.path, replica)
+
+
+def test_state_that_expires(spark, tmp_path):
+    schema = f"{LOG}, at timestamp"
+    at = lambda s: datetime.datetime.fromtimestamp(s, datetime.timezone.utc)
+    batches = [
+        [("c", "k", 1, 0, "ttl", "a", 20_000, at(10)), ("c", "p", 2, 0, "put", "b", 0, at(10))],
+        [("c", "p", 1, 0, "put", "late", 0, at(15)), ("c", "q", 3, 0, "put", "x", 0, at(30))],
+        [("c", "p", 4, 0, "del", None, 0, at(31))],
+        [("c", "q", 5, 0, "put", "y", 0, at(60))],
+        [("c", "r", 6, 0, "put", "z", 0, at(61))],
+    ]
+    seen = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = expiring_stream(stream, "at").writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend((r.key, r.seq, r.state) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert ("k", 1, "live") in seen and ("k", 1, "expired") in seen and ("p", 2, "live") in seen and ("p", 4, "deleted") in seen and ("q", 5, "live") in seen
+    assert not any(key == "p" and seq == 1 for key, seq, _ in seen)

@@ -9,7 +9,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -66,10 +66,12 @@ class BloomFilter:
         return out
 
     def probe(self, key: Column) -> Column:
-        data = self.to_bytes()
+        spark = SparkSession.active()
+        ship(spark)
+        known = spark.sparkContext.broadcast(self)  # once an executor, in place of once a task
 
         @F.pandas_udf("boolean")
         def test(keys: pd.Series) -> pd.Series:
-            return pd.Series(BloomFilter.from_bytes(data).may_contain(keys))
+            return pd.Series(known.value.may_contain(keys))
 
         return test(key)

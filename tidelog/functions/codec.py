@@ -36,8 +36,7 @@ def _rolling(keys: pd.Series, start: int, step) -> np.ndarray:
     h = np.full(len(data), start, np.uint64)
     if len(data) and n.max():
         grid = np.zeros((len(data), int(n.max())), np.uint8)
-        for i, d in enumerate(data):
-            grid[i, : len(d)] = np.frombuffer(d, np.uint8)
+        grid[np.arange(grid.shape[1]) < n[:, None]] = np.frombuffer(b"".join(data), np.uint8)
         with np.errstate(over="ignore"):
             for j in range(grid.shape[1]):
                 h = np.where(j < n, step(h, grid[:, j].astype(np.uint64)), h)

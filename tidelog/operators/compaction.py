@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import be_u64
 from ..schema import LATEST
-from .resolve import with_ord
+from .resolve import latest, with_ord
 
 #: Files in level 0 that start a compaction, bytes of level 1, growth from level to level, levels.
 L0_FILES, L1_BYTES, GROWTH, LEVELS = 4, 1 << 20, 10, 7
@@ -61,29 +61,38 @@ def function_filter(decide: Callable[[Column, Column], Filter]) -> Filter:
 def retain_versions(log: DataFrame, horizon: int, deepest: bool = False) -> DataFrame:
     """Per key the newest version and all with seq > horizon; at the deepest level a newest tombstone at or under it goes with its key.
 
-    The newest comes from a partial aggregate joined back, so that a key with many versions isn't gathered in one task.
+    Versions after the horizon stay as they are. Of the others only a key's newest of all can stay, which a partial row limit finds:
+    a key with any number of versions sends one row a task, and nothing is joined.
     """
     rows = with_ord(log)
-    newest = rows.groupBy("cf", "key").agg(F.max(F.struct("seq", "ord", "op")).alias("_top"))
-    out = rows.join(newest, ["cf", "key"]).where(((F.col("seq") == F.col("_top.seq")) & (F.col("ord") == F.col("_top.ord"))) | (F.col("seq") > horizon))
+    old = latest(rows).where(F.col("seq") <= horizon)
     if deepest:
-        out = out.where(~((F.col("_top.op") == "del") & (F.col("_top.seq") <= horizon)))
-    return out.select(*rows.columns)
+        old = old.where("op <> 'del'")
+    return rows.where(F.col("seq") > horizon).unionByName(old)
 
 
 def retain_for_snapshots(log: DataFrame, snapshots: Sequence[int]) -> DataFrame:
-    """Per key the newest version of all and the newest at or under each snapshot: whatever some reader can still see."""
+    """Per key the newest version of all and the newest at or under each snapshot: whatever some reader can still see.
+
+    The snapshots cut the log in stretches, and what they see of a key is the newest of each stretch, found as in ``latest``.
+    """
     rows = with_ord(log)
-    v = F.struct("seq", "ord")
-    tops = [F.max(v)] + [F.max(F.when(F.col("seq") <= s, v)) for s in sorted(set(snapshots))]
-    keep = rows.groupBy("cf", "key").agg(F.array(*tops).alias("_keep"))
-    return rows.join(keep, ["cf", "key"]).where(F.array_contains("_keep", v)).select(*rows.columns)
+    stretch = F.lit(0)
+    for s in sorted(set(snapshots)):
+        stretch = stretch + (F.col("seq") > s).cast("int")
+    w = Window.partitionBy("cf", "key", "_stretch").orderBy(F.col("seq").desc(), F.col("ord").desc())
+    return rows.withColumn("_stretch", stretch).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_stretch")
 
 
 def safe_horizon(active: Sequence[int]) -> int:
     return max(min(active) - 1, 0) if active else LATEST
 
 
+def horizon_of(snapshots: DataFrame) -> DataFrame:
+    """(horizon) of a table of snapshots (seq): what ``safe_horizon`` gives, as an aggregate."""
+    return snapshots.agg(F.coalesce(F.greatest(F.min("seq") - 1, F.lit(0)), F.lit(LATEST)).alias("horizon"))
+
+
 @dataclass(frozen=True)
 class Job:
     level: int

@@ -49,8 +49,9 @@ def string_append(deltas: DataFrame, sep: str = ",", base: DataFrame | None = No
     if base is not None:
         rows = rows.unionByName(base.select("cf", "key", F.struct(F.lit(0).alias("late"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("ord"), F.col("value").alias("v")).alias("x")))
     rows = rows.where("x.v is not null").groupBy("cf", "key").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    joined = F.aggregate("xs", F.lit(""), lambda acc, x: F.when(acc == "", x["v"]).otherwise(F.concat(acc, F.lit(sep), x["v"])))
-    return rows.select("cf", "key", joined.alias("value"))
+    rows = rows.select("cf", "key", F.col("xs.v").alias("vs")).withColumn("first", F.array_position(F.transform("vs", lambda v: v != ""), True))
+    # what is empty before the first value that isn't leaves no trace
+    return rows.select("cf", "key", F.when(F.col("first") == 0, "").otherwise(F.expr("array_join(slice(vs, cast(first as int), size(vs)), '%s')" % sep.replace("\\", "\\\\").replace("'", "\\'"))).alias("value"))
 
 
 class Int64Add:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_CF, LOG
@@ -121,12 +121,15 @@ class OccTransaction:
 def conflicts(reads_: DataFrame, log: DataFrame) -> DataFrame:
     """Validate many transactions at once. reads_ (tx, cf, key, horizon, commit): (tx, n_conflicts), later writes to keys read.
 
-    An equi-join on (cf, key) with the seq range as residual, and a partial count.
+    Writes and reads of a key are put in one order, where a running count gives how many writes there are up to a read's commit
+    and up to its horizon; the difference is what it conflicts with. Reads and writes are never paired.
     """
-    w = log.select("cf", "key", F.col("seq").alias("_w"))
-    hit = (F.col("_w") > F.col("horizon")) & (F.col("_w") <= F.col("commit"))
-    joined = reads_.join(w, ["cf", "key"], "left")
-    return joined.groupBy("tx").agg(F.count(F.when(hit, 1)).alias("n_conflicts"))
+    writes = log.select("cf", "key", F.col("seq").alias("at"), F.lit(None).cast(reads_.schema["tx"].dataType).alias("tx"), F.lit(0).alias("sign"))
+    marks = F.explode(F.array(F.struct(F.col("commit").alias("at"), F.lit(1).alias("sign")), F.struct(F.least("horizon", "commit").alias("at"), F.lit(-1).alias("sign"))))
+    both = writes.unionByName(reads_.select("cf", "key", "tx", marks.alias("m")).select("cf", "key", "m.at", "tx", "m.sign"))
+    order = Window.partitionBy("cf", "key").orderBy("at", F.abs("sign")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("n", F.sum(F.when(F.col("sign") == 0, 1).otherwise(0)).over(order)).where("sign <> 0")
+    return both.groupBy("tx").agg(F.sum(F.col("n") * F.col("sign")).cast("long").alias("n_conflicts"))
 
 
 __all__ = ["ConflictError", "OccTransaction", "Snapshot", "SnapshotRegistry", "WriteBatch", "conflicts", "is_live", "latest"]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.bloom import BloomFilter
-from ..functions.codec import be_u64, le_i64, metric_bucket
-from ..functions.metrics import counters
+from ..functions.codec import be_u64, djb2, fnv1a, le_i64
+from ..functions.metrics import counters, histogram, prometheus
 from ..operators import compaction, merge, reads, resolve, txn
+from ..scratch import scratch_path
 from ..sources import wal
 from ..sources.events import kv_log, kv_range_del
+from ..sources.store import Store
+from ..streaming.replicate import latest_stream, replicate
 
 #: 2024-01-31T00:00:00Z.
 NOW = 1706659200000
@@ -67,9 +70,76 @@ def _bloom(s, d):
     return probes.select("key", (~F.col("key").endswith("?")).alias("present"), f.probe(F.col("key")).alias("may_contain"))
 
 
+def _store(s, d, parts: int = 5) -> Store:
+    """A store of its own with the whole log, written in so many commits, and its range deletes."""
+    store = Store(s, scratch_path(s, "store"), ("default", "meta"), now=NOW)
+    log = kv_log(s, d)
+    top = reads.write_seq(log) - 1
+    for k in range(parts):
+        low, high = top * k // parts, top * (k + 1) // parts
+        store.append(log.where((F.col("seq") > low) & (F.col("seq") <= high)), high)
+    store.append_ranges(kv_range_del(s, d), top)
+    return store
+
+
+def _live(store: Store):
+    return resolve.resolve(store.log(), store.ranges(), now=NOW)
+
+
+def _compacted(s, d):
+    store = _store(s, d)
+    store.maintain()
+    return _live(store)
+
+
+def _snapshot(s, d):
+    """A snapshot registered before the log is compacted sees what it saw."""
+    store = _store(s, d)
+    with store.snapshots.register(5000):
+        store.maintain()
+        return txn.Snapshot(store.log(), 5000, None, NOW).rows()
+
+
+def _replica(s, d):
+    store = _store(s, d)
+    replica = Store(s, scratch_path(s, "replica"), (), now=NOW)
+    replicate(s, store.path, replica, scratch_path(s, "stream")).awaitTermination()
+    return _live(replica)
+
+
+def _streamed(s, d):
+    source, out = scratch_path(s, "log"), scratch_path(s, "latest")
+    kv_log(s, d).write.parquet(source)
+    stream = s.readStream.schema(s.read.parquet(source).schema).parquet(source)
+    latest_stream(stream).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch_path(s, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out)
+
+
+def _folded(s, d):
+    put = kv_log(s, d).where("op = 'put'").select("cf", F.col("key").cast("binary").alias("key"), "seq", "ord", F.col("value").cast("binary").alias("delta"))
+    return merge.fold(put, merge.StringAppend()).select("cf", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def _partial(s, d):
+    """Deltas merged in parts first, then the parts with each other."""
+    delta = kv_log(s, d).select("cf", "key", (F.col("seq") % 4).alias("part"), F.when(F.col("op") == "del", -1).otherwise(1).cast("long").alias("delta"))
+    parts = delta.groupBy("cf", "key", "part").agg(merge.wrapped_sum(F.col("delta")).alias("delta"))
+    return merge.int64_add(parts).withColumnRenamed("value", "n")
+
+
+def _prometheus(s, d):
+    lines = [x.rsplit(" ", 1) for x in prometheus(_line_ops(s, d)).splitlines() if not x.startswith("#")]
+    return s.createDataFrame([(name, int(v)) for name, v in lines], "name string, value long")
+
+
+def _hashes(s, d):
+    keys = kv_log(s, d).select("key").distinct()
+    return keys.select("key", fnv1a(F.col("key")).alias("fnv1a"), djb2(F.col("key")).alias("djb2"))
+
+
 def queries() -> dict:
     live = lambda s, d: resolve.resolve(kv_log(s, d), now=NOW)
-    hist = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy(metric_bucket(F.col("l_orderkey") * 997 + 1).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    hist = lambda s, d: histogram(_line_ops(s, d).withColumn("kind", F.lit("read"))).select(F.col("bucket").cast("long").alias("bucket"), "n")
     return {
         "kv_log": lambda s, d: kv_log(s, d).drop("ord"),
         "latest": lambda s, d: resolve.latest(kv_log(s, d)).drop("ord"),
@@ -97,8 +167,9 @@ def queries() -> dict:
         "cf_stats": lambda s, d: reads.cf_stats(kv_log(s, d)),
         "list_cfs": lambda s, d: reads.list_cfs(kv_log(s, d)),
         "key_write_seq": lambda s, d: reads.key_write_seq(kv_log(s, d)),
-        "write_seq": lambda s, d: kv_log(s, d).agg((F.max("seq") + 1).alias("write_seq")),
-        "safe_horizon": lambda s, d: kv_log(s, d).where("seq % 50 = 0").agg(F.coalesce(F.greatest(F.min("seq") - 1, F.lit(0)), F.lit(resolve.LATEST)).alias("horizon")),
+        "write_seq": lambda s, d: s.createDataFrame([(reads.write_seq(kv_log(s, d)),)], "write_seq long"),
+        # every 50th commit is taken for a snapshot that a reader holds; the rule is part of the question, as in occ_conflicts
+        "safe_horizon": lambda s, d: compaction.horizon_of(kv_log(s, d).where("seq % 50 = 0")),
         "write_batch": lambda s, d: resolve.latest(_batched(s, d)).where("op <> 'del'").select("cf", "key", "seq", F.col("ord").cast("long").alias("ord"), "value"),
         "merge_entries": lambda s, d: compaction.merge_entries(*_layers(s, d), drop_tombstones=True),
         "wal_valid_prefix": lambda s, d: wal.valid_prefix(_crc_log(s, d)).select("cf", "key", "seq"),
@@ -106,6 +177,16 @@ def queries() -> dict:
         "latency_histogram": hist,
         "metrics_counters": lambda s, d: counters(_line_ops(s, d)),
         "bloom_probe": _bloom,
+        "key_hashes": _hashes,
+        "store_live": lambda s, d: _live(_store(s, d)),
+        "store_compacted": _compacted,
+        "store_snapshot": _snapshot,
+        "replica_live": _replica,
+        "stream_latest": _streamed,
+        "fold_string_append": _folded,
+        "merge_counter_partial": _partial,
+        "function_filter": lambda s, d: compaction.apply_filter(resolve.latest(kv_log(s, d)), compaction.function_filter(lambda key, value: compaction.Filter(value.startswith("view") & key.endswith(":3"), key.endswith(":4"), F.concat(value, F.lit("!"))))).select("cf", "key", "seq", "value"),
+        "prometheus": _prometheus,
         "counter_codec": lambda s, d: kv_log(s, d).select("seq", le_i64(F.unhex(F.lpad(F.hex(F.col("seq")), 16, "0"))).alias("le"), be_u64(F.unhex(F.lpad(F.hex(F.col("seq")), 16, "0"))).cast("long").alias("be")),
     }
 
@@ -125,6 +206,31 @@ old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cf, key ORDER B
 """
 
 
+#: Distinct keys and, for the Bloom filter, keys that aren't there, with both hashes as unsigned 64-bit numbers.
+_HASHES = r"""
+, names AS (SELECT DISTINCT key, true AS present FROM kv_log UNION ALL SELECT DISTINCT key || '?', false FROM kv_log),
+bytes AS (SELECT key, present, list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substring(key, CAST(i AS BIGINT), 1)) AS UHUGEINT)) AS b FROM names),
+hashed AS (SELECT key, present,
+  list_reduce(list_prepend(CAST('14695981039346656037' AS UHUGEINT), b), lambda h, x: (CAST(xor(CAST(h AS UBIGINT), CAST(x AS UBIGINT)) AS UHUGEINT) * 1099511628211) % CAST('18446744073709551616' AS UHUGEINT)) AS f,
+  list_reduce(list_prepend(CAST(5381 AS UHUGEINT), b), lambda h, x: (h * 33 + x) % CAST('18446744073709551616' AS UHUGEINT)) AS j FROM bytes)
+"""
+_BLOOM_SQL = r"""
+, own AS (SELECT key, present, f, j FROM hashed WHERE rtrim(key, '?') IN (SELECT key FROM kv_log WHERE cf = 'default')),
+size AS (SELECT greatest(64, CAST(floor(count(*) * CAST(9.585 AS DOUBLE)) AS BIGINT)) AS bits FROM own WHERE present),
+places AS (SELECT key, present, ((f + i * j) % CAST('18446744073709551616' AS UHUGEINT)) % bits AS spot FROM own, size, (SELECT CAST(unnest(range(7)) AS UHUGEINT) AS i)),
+filled AS (SELECT DISTINCT spot FROM places WHERE present)
+SELECT p.key, p.present, bool_and(s.spot IS NOT NULL) AS may_contain FROM places p LEFT JOIN filled s ON p.spot = s.spot GROUP BY p.key, p.present
+"""
+_PROMETHEUS_SQL = r"""
+WITH o AS (SELECT l_linenumber % 3 AS k, l_partkey AS b, l_returnflag = 'R' AS h, length(bin(l_orderkey * 997 + 1)) - 1 AS bucket FROM lineitem),
+c AS (SELECT count(*) FILTER (k = 0) AS writes_total, CAST(coalesce(sum(b) FILTER (k = 0), 0) AS BIGINT) AS bytes_written_total, count(*) FILTER (k = 1) AS reads_total, count(*) FILTER (k = 1 AND h) AS read_hits_total,
+  CAST(coalesce(sum(b) FILTER (k = 1 AND h), 0) AS BIGINT) AS bytes_read_total, CAST(0 AS BIGINT) AS compactions_total, count(*) FILTER (k = 2 AND h) AS bloom_hits_total, count(*) FILTER (k = 2 AND NOT h) AS bloom_misses_total FROM o),
+n AS (SELECT unnest([0, 1, 9]) AS k, unnest(['write', 'read', 'compaction']) AS kind), i AS (SELECT unnest(range(64)) AS i)
+SELECT 'kv_' || name AS name, value FROM (UNPIVOT c ON COLUMNS(*) INTO NAME name VALUE value)
+UNION ALL SELECT 'kv_' || kind || '_latency_ns_bucket{le="' || CASE WHEN i = 63 THEN '+Inf' ELSE CAST((1::HUGEINT << CAST(i + 1 AS INTEGER)) - 1 AS VARCHAR) END || '"}', (SELECT count(*) FROM o WHERE o.k = n.k AND o.bucket <= i.i) FROM n, i
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     uncovered = "NOT EXISTS (SELECT 1 FROM kv_range_del r WHERE r.cf = l.cf AND r.lo <= l.key AND l.key < r.hi AND r.seq > l.seq{})"
     sql = {
@@ -162,6 +268,17 @@ def oracle_sql() -> dict[str, str]:
         "manifest_replay": "SELECT cf, level, filename FROM (SELECT *, row_number() OVER (PARTITION BY cf, filename ORDER BY batch_id DESC, action) AS r FROM (SELECT DISTINCT (seq - 1) // 50 AS batch_id, cf, 0 AS level, 'f' || CAST(((seq - 1) // 50) % 40 AS VARCHAR) AS filename, CASE WHEN ((seq - 1) % 50) % 2 = 0 THEN 'add' ELSE 'remove' END AS action FROM kv_log)) WHERE r = 1 AND action = 'add'",
         "latency_histogram": "SELECT CAST(length(bin(l_orderkey * 997 + 1)) - 1 AS BIGINT) AS bucket, count(*) AS n FROM lineitem GROUP BY 1",
         "metrics_counters": "SELECT count(*) FILTER (k = 0) AS writes_total, CAST(sum(b) FILTER (k = 0) AS BIGINT) AS bytes_written_total, count(*) FILTER (k = 1) AS reads_total, count(*) FILTER (k = 1 AND h) AS read_hits_total, CAST(sum(b) FILTER (k = 1 AND h) AS BIGINT) AS bytes_read_total, CAST(0 AS BIGINT) AS compactions_total, count(*) FILTER (k = 2 AND h) AS bloom_hits_total, count(*) FILTER (k = 2 AND NOT h) AS bloom_misses_total FROM (SELECT l_linenumber % 3 AS k, l_partkey AS b, l_returnflag = 'R' AS h FROM lineitem)",
+        "store_live": f"SELECT * FROM live l WHERE {uncovered.format('')}",
+        "store_compacted": f"SELECT * FROM live l WHERE {uncovered.format('')}",
+        "store_snapshot": "SELECT cf, key, seq, value FROM old WHERE cf = 'default'",
+        "replica_live": f"SELECT * FROM live l WHERE {uncovered.format('')}",
+        "stream_latest": "SELECT * FROM latest",
+        "fold_string_append": "SELECT cf, key, string_agg(value, ',' ORDER BY seq) AS value FROM kv_log WHERE op = 'put' GROUP BY cf, key",
+        "merge_counter_partial": "SELECT cf, key, CAST(sum(CASE WHEN op = 'del' THEN -1 ELSE 1 END) AS BIGINT) AS n FROM kv_log GROUP BY cf, key",
+        "function_filter": "SELECT cf, key, seq, CASE WHEN key LIKE '%:4' THEN value || '!' ELSE value END AS value FROM latest WHERE value IS NULL OR NOT (starts_with(value, 'view') AND key LIKE '%:3')",
+        "prometheus": _PROMETHEUS_SQL,
+        "key_hashes": _HASHES + "SELECT key, CAST(CASE WHEN f >= 9223372036854775808 THEN CAST(f AS HUGEINT) - 18446744073709551616 ELSE CAST(f AS HUGEINT) END AS BIGINT) AS fnv1a, CAST(CASE WHEN j >= 9223372036854775808 THEN CAST(j AS HUGEINT) - 18446744073709551616 ELSE CAST(j AS HUGEINT) END AS BIGINT) AS djb2 FROM (SELECT key, f, j FROM hashed) WHERE NOT ends_with(key, '?')",
+        "bloom_probe": _HASHES + _BLOOM_SQL,
         "counter_codec": "SELECT seq, CAST((seq % 256) * 72057594037927936::HUGEINT + ((seq // 256) % 256) * 281474976710656 + ((seq // 65536) % 256) * 1099511627776 - CASE WHEN seq % 256 >= 128 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS le, seq AS be FROM kv_log",
     }
     return {k: (_LOG + v if "FROM lineitem" not in v else v) for k, v in sql.items()}

@@ -9,9 +9,9 @@ from threading import Lock
 from urllib.parse import parse_qs, unquote, urlparse
 
 from ..functions.metrics import Metrics, prometheus
-from ..operators.txn import WriteBatch
+from ..operators.txn import ConflictError, WriteBatch
 from ..schema import DEFAULT_CF
-from .store import Store, UnknownColumnFamily
+from .store import CommitConflict, Store, UnknownColumnFamily
 
 
 def serve(store: Store, port: int = 0, metrics: Metrics | None = None) -> ThreadingHTTPServer:
@@ -61,6 +61,8 @@ def serve(store: Store, port: int = 0, metrics: Metrics | None = None) -> Thread
                 return self.reply({"error": "no such route"}, 404)
             except UnknownColumnFamily as e:
                 return self.reply({"error": f"unknown column family {e}"}, 500)
+            except (CommitConflict, ConflictError) as e:  # another writer was faster: the client may try again
+                return self.reply({"error": f"conflict: {e}"}, 409)
 
         def do_GET(self):
             self.handle_one("GET")
