@@ -217,7 +217,7 @@ hashed AS (SELECT key, present,
 _BLOOM_SQL = r"""
 , own AS (SELECT key, present, f, j FROM hashed WHERE rtrim(key, '?') IN (SELECT key FROM kv_log WHERE cf = 'default')),
 size AS (SELECT greatest(64, CAST(floor(count(*) * CAST(9.585 AS DOUBLE)) AS BIGINT)) AS bits FROM own WHERE present),
-places AS (SELECT key, present, ((f + i * j) % CAST('18446744073709551616' AS UHUGEINT)) % bits AS spot FROM own, size, (SELECT CAST(unnest(range(7)) AS UHUGEINT) AS i)),
+places AS (SELECT key, present, ((f + i * j) % CAST('18446744073709551616' AS UHUGEINT)) % CAST(bits AS UHUGEINT) AS spot FROM own, size, (SELECT CAST(unnest(range(7)) AS UHUGEINT) AS i)),
 filled AS (SELECT DISTINCT spot FROM places WHERE present)
 SELECT p.key, p.present, bool_and(s.spot IS NOT NULL) AS may_contain FROM places p LEFT JOIN filled s ON p.spot = s.spot GROUP BY p.key, p.present
 """
