@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path, shared_dir
 from ..ship import ship as ship_package
 
 #: A side of at most this many rows of a few longs may be broadcast; beyond it a shuffled join runs.
 BROADCAST_ROWS = 200_000
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_sample", "fresh", "hot_keys", "join_hot", "materialize", "remove_path", "scratch_path", "shared_dir", "ship", "table", "text_of", "texts_in"]
+__all__ = ["BROADCAST_ROWS", "bounded_sample", "fresh", "hot_keys", "join_hot", "materialize", "scratch_path", "shared_dir", "ship", "table", "text_of", "texts_in"]
 
 
 #: Rows of an Arrow batch where the session sets none: documents are long, and each Python worker holds a few batches.
@@ -34,21 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    sc = spark.sparkContext
-    if not getattr(sc, "_tidelog_dir", None):
-        sc._tidelog_dir = "file://" + tempfile.mkdtemp(prefix="tidelog-shared-")
-    return sc._tidelog_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
-
-
 #: Rows of a written file at least, for tables of a few numbers a row.
 FILE_ROWS = 500_000
 
@@ -67,13 +50,6 @@ def materialize(df: DataFrame, name: str, most_rows: int | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder of ours through the file system it lies in."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def hot_keys(df: DataFrame, keys: list[str], n_rows: int, share: int = 500) -> DataFrame:
     """The keys that hold over 1/share of the rows: fewer than ``share`` of them, whatever the data, so they may be broadcast."""
     least = max(64, n_rows // share)
