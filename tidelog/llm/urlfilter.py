@@ -11,7 +11,8 @@ a beginning in its first month and one at the start of each later month that it
 with many captures are dealt to several groups besides, each with all beginnings of the key. Days are whole, and entries of one
 key and day are resolved before, so a group never has more beginnings than a month has days, however many entries there are.
 
-There is no cross join and no broadcast but of the bounded list of hot keys. Only DataFrame functions are used.
+There is no cross join and no broadcast but of the bounded list of hot keys, and of the listed keys while they are at most
+``BROADCAST_ROWS``. Only DataFrame functions are used.
 
 Defined results: captures without a URL, a host or a fetch day match nothing and are kept; rows that repeat are evaluated
 each for itself; of entries of one key and day 'remove' yields to 'allow', and 'allow' to 'block'; entries with a null key,
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, hot_keys, materialize
+from .common import BROADCAST_ROWS, fresh, hot_keys, materialize
 
 FOREVER = "9999-12-31"
 #: Groups to which the captures of a hot key are dealt.
@@ -79,7 +80,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     keyed = rows.where(F.col(host).isNotNull() & F.col("fetch_day").isNotNull()).select(F.col(row).alias("id"), F.col("fetch_day").alias("day"), F.split(host, r"\.").alias("l"))
     keyed = keyed.select("id", "day", F.explode(suffixes).alias("key")).where(F.col("key").contains("."))  # a top-level name can't be listed
     listed = intervals(entries).where(F.col("key").contains("."))
-    keyed = keyed.join(listed.select("key").distinct(), "key", "left_semi")
+    keys = materialize(listed.select("key").distinct(), "keys")
+    keyed = keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key", "left_semi")
     matched = as_of(materialize(keyed, "keyed"), listed)
     best = matched.groupBy(F.col("id").alias(id_)).agg(F.max(F.struct(F.length("key").alias("n"), "key", "action", "since")).alias(best_))
     out = rows.join(best, F.col(row) == F.col(id_), "left")
