@@ -173,17 +173,15 @@ def test_levels_vacuum_and_background(store):
     assert [(r.key, r.value) for r in store.iterate().collect()] == want
     with Compactor(store, 0.1) as worker:
         for i in range(5):
-            try:
-                store.put("z", str(i))
-            except CommitConflict:
-                store._refresh()
-                store.put("z", str(i))
+            store.put("z", str(i))
         for _ in range(100):
             if worker.jobs:
                 break
             time.sleep(0.2)
     assert worker.jobs and not worker.errors
-    assert store.get("z") == "4"
+    assert store.get("z") == "4" and Store(store.spark, store.path, (), now=0)._commits == store._commits
+    with pytest.raises(CommitConflict):
+        store._commit({"kind": "compact", "folder": "compacted/none", "inputs": ["log/gone"], "level": 1, "seq": 1})
     assert kept is not store.cached_state()
 
 

@@ -41,6 +41,7 @@ class Store:
         self._fs.mkdirs(self._path(f"{self.path}/commits"))
         self.snapshots = SnapshotRegistry()
         self._commits: list[dict] = []
+        self._lock = threading.RLock()  # of the commits that this object knows: a Compactor works beside its owner
         self._torn = False  # the file of the next number can't be read
         self._kept: tuple[int, DataFrame] | None = None
         self._refresh()
@@ -57,6 +58,10 @@ class Store:
         return self._path(f"{self.path}/commits/{n:012d}.json")
 
     def _refresh(self) -> None:
+        with self._lock:
+            self._read_commits()
+
+    def _read_commits(self) -> None:
         names = {f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/commits"))}
         self._torn = False
         while (name := f"{len(self._commits):012d}.json") in names:
@@ -70,6 +75,12 @@ class Store:
                 stream.close()
 
     def _commit(self, entry: dict) -> None:
+        with self._lock:
+            if entry["kind"] == "compact" and not set(entry["inputs"]) <= set(self._folders("log")):
+                raise CommitConflict("its inputs were compacted meanwhile")
+            self._write_commit(entry)
+
+    def _write_commit(self, entry: dict) -> None:
         n, jvm = len(self._commits), self.spark._jvm
         own = self._path(f"{self.path}/commits/.{uuid.uuid4().hex}")
         stream = self._fs.create(own, False)
