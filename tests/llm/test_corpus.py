@@ -85,6 +85,29 @@ def test_fingerprint_edges(spark):
     assert single.near_next == 1.0
 
 
+@pytest.mark.parametrize("wide", [0, 1 << 62])
+def test_fingerprints_of_hot_ids(spark, monkeypatch, wide):
+    r = random.Random(9)
+    rows = [(None, prose(k % 40, 12)) for k in range(120)] + [(7, f"common beginning {prose(k, 8)}") for k in range(60)]
+    rows += [(7, "") for _ in range(30)] + [(None, None), (None, "ﬁ"), (None, "a"), (None, "a\x00")] + [(k, prose(k, 20)) for k in range(60, 300)] + [(wide, "end"), (-wide, "start")]
+    r.shuffle(rows)
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(5)
+    columns = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    facts = lambda: collections.Counter(tuple(x[c] for c in columns) for x in fingerprint.fingerprint_documents(docs).collect())
+    whole = facts()
+    monkeypatch.setattr(fingerprint, "HOT_ROWS", 20)
+    assert facts() == whole
+    order = sorted(((i is not None, i or 0, t or "") for i, t in rows))
+    want = collections.Counter()
+    for (known, i, t), (_, _, n) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        want[(i if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest())] += 1
+    got = collections.Counter()
+    for x, k in whole.items():
+        got[x[:3]] += k
+    assert got == want
+
+
 def test_successors_over_several_levels(spark):
     r = random.Random(5)
     ids = sorted({r.randrange(-(10**9), 10**12) for _ in range(300)})

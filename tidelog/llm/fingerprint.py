@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, text_of
 
 WORDS = 5
 BIN_BITS = 8
@@ -31,6 +31,10 @@ BODY = (1 << SHIFT) - 1
 #: Rows of one group when the successor of a document is looked up, and groups of groups.
 GROUP = 64
 FANOUT = 4096
+#: A group of over HOT_ROWS rows and over 1 / HOT_SHARE of all rows (so fewer than HOT_SHARE groups) is dealt in PIECES, fewer if ids spread over 2^58.
+HOT_ROWS = 4096
+HOT_SHARE = 500
+PIECES = 512
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -78,19 +82,50 @@ def following(groups: DataFrame, low: int, high: int) -> DataFrame:
     return up.withColumn("_lead", lead).join(tops.join(first, "_nextup").select("_up", "_first"), "_up").select("g", F.coalesce("_lead", "_first").alias("next"))
 
 
+def in_pieces(docs: DataFrame, least: int, pieces: int) -> DataFrame:
+    """docs (_g, doc_id, text): groups of over ``least`` rows dealt to ``pieces`` new groups each, in the order of id and text; adds _copies.
+
+    The pieces are bounded by approximate quantiles of the id and the first seven bytes of the text, which keep the order of
+    strings. Equal rows of such a group are counted within each input partition, so that they travel as one row with its ``_copies``.
+    """
+    at = F.shiftleft(F.coalesce(F.col("doc_id").bitwiseAND(GROUP - 1) + 1, F.lit(0)).cast("long"), 56)
+    at = at + F.expr("cast(conv(rpad(hex(substring(cast(text as binary), 1, 7)), 14, '0'), 16, 10) as long)")
+    hot = docs.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("_g")
+    shares = [k / pieces for k in range(1, pieces)]
+    bounds = docs.join(F.broadcast(hot), "_g").groupBy("_g").agg(F.array_distinct(F.percentile_approx(at, shares, 4 * pieces)).alias("_bounds"))
+    # written, as quantiles that are computed twice may differ
+    docs = docs.join(F.broadcast(materialize(bounds, "pieces")), "_g", "left")
+    cold = docs.where("_bounds is null").select((F.col("_g") * pieces).alias("_g"), "doc_id", "text", F.lit(1).cast("long").alias("_copies"))
+    piece = F.size(F.filter("_bounds", lambda b: b < F.col("_at")))
+    split = docs.where("_bounds is not null").withColumn("_at", at).select((F.col("_g") * pieces + piece).alias("_g"), "doc_id", "text", F.spark_partition_id().alias("_p"))
+    return cold.unionByName(split.groupBy("_g", "doc_id", "text", "_p").agg(F.count(F.lit(1)).alias("_copies")).drop("_p"))
+
+
 def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], cols: list[str]) -> DataFrame:
     """derive(docs (doc_id, text)), with next_<col> for each of ``cols``: the values of the next row by doc_id; the last row gets those of the first.
 
-    Null ids come first; rows of equal ids are ordered by text. Rows are dealt once, by groups of ``GROUP`` consecutive ids;
-    only the first row of each group travels again, to the group before. ``derive`` must work row by row.
+    Null ids come first; rows of equal ids are ordered by text. Rows are dealt once, by groups of ``GROUP`` consecutive ids, and
+    those without an id are a group of their own; a group with over 1 / ``HOT_SHARE`` of the rows is dealt in pieces. Only the
+    first row of each group travels again, to the group before. ``derive`` must work row by row.
     """
-    docs = docs.withColumn("_g", F.shiftright(F.coalesce("doc_id", F.lit(-(1 << 63))), GROUP.bit_length() - 1))
-    low, high = docs.agg(F.min("_g"), F.max("_g")).first()
+    docs = docs.withColumn("_g", F.shiftright("doc_id", GROUP.bit_length() - 1))
+    sizes = docs.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    low, high, n, most = sizes.agg(F.min("_g"), F.max("_g"), F.sum("n"), F.max("n")).first()
+    low, high = (0, 0) if low is None else (low - 1, high)
+    docs, top = docs.withColumn("_g", F.coalesce(F.col("_g") - low, F.lit(0).cast("long"))), high - low
+    least = max(HOT_ROWS, (n or 0) // HOT_SHARE)
+    hot = (most or 0) > least
+    if hot:
+        pieces = min(PIECES, (1 << 62) // (top + 1))
+        docs, top = in_pieces(docs, least, pieces), (top + 1) * pieces
     w = Window.partitionBy("_g").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    link = following(docs.select(F.col("_g").alias("g")).distinct(), low or 0, high or 0)
+    link = following(docs.select(F.col("_g").alias("g")).distinct(), 0, top)
     heads = derive(docs.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select(F.col("_g").alias("next"), "text"))
     heads = heads.select("next", F.struct(*cols).alias("_head")).join(link, "next").select(F.col("g").alias("_g"), "_head")
     out = derive(docs).withColumn("_next", F.lead(F.struct(*cols)).over(w)).join(heads, "_g", "left").withColumn("_next", F.coalesce("_next", "_head"))
+    if hot:  # of equal rows all but the last are followed by one of them
+        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+        out = out.withColumn("_next", F.when(F.col("_copy") < F.col("_copies"), F.struct(*cols)).otherwise(F.col("_next"))).drop("_copy", "_copies")
     return out.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in cols]).drop("_g", "_next", "_head")
 
 
