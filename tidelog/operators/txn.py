@@ -12,6 +12,9 @@ from . import reads
 from .compaction import safe_horizon
 from .resolve import is_live, latest
 
+#: Seqs of a stretch in which ``conflicts`` counts the reads and writes of a key.
+STRETCH = 1 << 20
+
 
 class WriteBatch:
     """Puts and deletes that share one seq; of entries for one key the last wins."""
@@ -118,17 +121,24 @@ class OccTransaction:
         return self.store.write_batch(self.batch)
 
 
-def conflicts(reads_: DataFrame, log: DataFrame) -> DataFrame:
+def conflicts(reads_: DataFrame, log: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Validate many transactions at once. reads_ (tx, cf, key, horizon, commit): (tx, n_conflicts), later writes to keys read.
 
     Writes and reads of a key are put in one order, where a running count gives how many writes there are up to a read's commit
-    and up to its horizon; the difference is what it conflicts with. Reads and writes are never paired.
+    and up to its horizon; the difference is what it conflicts with. Reads and writes are never paired. The order is cut in stretches
+    of ``stretch`` seqs, which are counted apart and start from the writes of all stretches before: a hot key is as many tasks' work.
     """
     writes = log.select("cf", "key", F.col("seq").alias("at"), F.lit(None).cast(reads_.schema["tx"].dataType).alias("tx"), F.lit(0).alias("sign"))
     marks = F.explode(F.array(F.struct(F.col("commit").alias("at"), F.lit(1).alias("sign")), F.struct(F.least("horizon", "commit").alias("at"), F.lit(-1).alias("sign"))))
     both = writes.unionByName(reads_.select("cf", "key", "tx", marks.alias("m")).select("cf", "key", "m.at", "tx", "m.sign"))
-    order = Window.partitionBy("cf", "key").orderBy("at", F.abs("sign")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("n", F.sum(F.when(F.col("sign") == 0, 1).otherwise(0)).over(order)).where("sign <> 0")
+    both = both.withColumn("part", F.floor(F.col("at") / F.lit(stretch))).withColumn("writes", F.when(F.col("sign") == 0, 1).otherwise(0).cast("long"))
+    before = Window.partitionBy("cf", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy("cf", "key", "part").agg(F.sum("writes").alias("writes"))
+    sums = sums.withColumn("writes", F.coalesce(F.sum("writes").over(before), F.lit(0)))
+    # a stretch's own order begins with one row that counts for all before it
+    both = both.unionByName(sums.withColumn("sign", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("cf", "key", "part").orderBy(F.col("at").asc_nulls_first(), F.abs("sign")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("n", F.sum("writes").over(order)).where("sign <> 0")
     return both.groupBy("tx").agg(F.sum(F.col("n") * F.col("sign")).cast("long").alias("n_conflicts"))
 
 

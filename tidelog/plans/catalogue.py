@@ -12,7 +12,7 @@ from ..scratch import scratch_path
 from ..sources import wal
 from ..sources.events import kv_log, kv_range_del
 from ..sources.store import Store
-from ..streaming.replicate import latest_stream, replicate
+from ..streaming.replicate import expiring_stream, latest_stream, replicate, tail
 
 #: 2024-01-31T00:00:00Z.
 NOW = 1706659200000
@@ -115,6 +115,79 @@ def _streamed(s, d):
     return s.read.parquet(out)
 
 
+def _tailed(s, d):
+    store, out = _store(s, d), scratch_path(s, "tailed")
+    tail(s, store.path).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(s, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).drop("ord")
+
+
+def _expiring(s, d):
+    """What the state of a stream tells of the whole log: every key's newest version, then what the last event time lets expire."""
+    source, out = scratch_path(s, "log"), scratch_path(s, "states")
+    at = s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("seq"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ms"))
+    kv_log(s, d).join(at, "seq").withColumn("at", F.timestamp_millis("ms")).drop("ms").coalesce(1).write.parquet(source)
+    stream = s.readStream.schema(s.read.parquet(source).schema).parquet(source)
+    expiring_stream(stream, "at").writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).option("checkpointLocation", scratch_path(s, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out)
+
+
+def _reopened(s, d):
+    return _live(Store.open(s, _store(s, d).path, (), now=NOW))
+
+
+def _vacuumed(s, d):
+    store = _store(s, d)
+    store.compact()
+    store.vacuum(keep_s=0)
+    return _live(store)
+
+
+def _ranged(s, d):
+    store = _store(s, d)
+    store.delete_range("user:0010", "user:0020")
+    return _live(store)
+
+
+def _expiries(s, d):
+    """Writes that expire later, at the moment of reading, and never."""
+    store = _store(s, d)
+    for key, value, ttl in (("user:0042:1", "later", 60000), ("user:0042:2", "over", 1000), ("user:0042:3", "never", 0)):
+        store.put_with_ttl(key, value, ttl, NOW - 1000)
+    return _live(store)
+
+
+def _transactions(s, d):
+    """Two transactions read one key; the first to commit wins, the other is refused and leaves nothing."""
+    store = _store(s, d)
+    first, second = store.begin(), store.begin()
+    for tx in (first, second):
+        tx.get("user:0042:1")
+    first.put("user:0042:1", "draft")
+    first.put("user:0042:1", "final")
+    first.delete("user:0042:2")
+    first.commit()
+    second.put("user:0042:1", "lost")
+    try:
+        second.commit()
+        refused = False
+    except txn.ConflictError:
+        refused = True
+    return _live(store).withColumn("refused", F.lit(refused))
+
+
+def _layered(s, d):
+    log = kv_log(s, d)
+    layers = [log.where("seq > 700"), log.where("seq > 200 AND seq <= 700"), log.where("seq <= 200")]
+    return resolve.latest(resolve.merge_layers(layers)).select("cf", "key", "seq", "source_id", "value")
+
+
+def _folded_counter(s, d):
+    """Counters as 8 little-endian bytes, folded by the operator on bytes."""
+    delta = F.unhex(F.when(F.col("op") == "del", F.lit("F" * 16)).otherwise(F.lit("01" + "0" * 14)))
+    rows = kv_log(s, d).select("cf", F.col("key").cast("binary").alias("key"), "seq", "ord", delta.alias("delta"))
+    return merge.fold(rows, merge.Int64Add()).select("cf", F.col("key").cast("string").alias("key"), le_i64(F.col("value")).alias("n"))
+
+
 def _folded(s, d):
     put = kv_log(s, d).where("op = 'put'").select("cf", F.col("key").cast("binary").alias("key"), "seq", "ord", F.col("value").cast("binary").alias("delta"))
     return merge.fold(put, merge.StringAppend()).select("cf", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
@@ -183,6 +256,19 @@ def queries() -> dict:
         "store_snapshot": _snapshot,
         "replica_live": _replica,
         "stream_latest": _streamed,
+        "stream_tail": _tailed,
+        "stream_expiring": _expiring,
+        "store_reopened": _reopened,
+        "store_vacuumed": _vacuumed,
+        "store_range_deleted": _ranged,
+        "store_ttl": _expiries,
+        "store_transactions": _transactions,
+        "store_stats": lambda s, d: _store(s, d).stats(),
+        "store_scan": lambda s, d: _store(s, d).scan("user:0010", "user:0020"),
+        "snapshot_prefix": lambda s, d: _store(s, d).snapshot().scan_prefix("user:0042:"),
+        "compacted_log": lambda s, d: compaction.compact(kv_log(s, d), (), drop_tombstones=True, now=NOW).select("cf", "key", "seq", "op", "value"),
+        "merge_layers": _layered,
+        "fold_counter": _folded_counter,
         "fold_string_append": _folded,
         "merge_counter_partial": _partial,
         "function_filter": lambda s, d: compaction.apply_filter(resolve.latest(kv_log(s, d)), compaction.function_filter(lambda key, value: compaction.Filter(value.startswith("view") & key.endswith(":3"), key.endswith(":4"), F.concat(value, F.lit("!"))))).select("cf", "key", "seq", "value"),
@@ -273,6 +359,19 @@ def oracle_sql() -> dict[str, str]:
         "store_snapshot": "SELECT cf, key, seq, value FROM old WHERE cf = 'default'",
         "replica_live": f"SELECT * FROM live l WHERE {uncovered.format('')}",
         "stream_latest": "SELECT * FROM latest",
+        "stream_tail": "SELECT cf, key, seq, op, value, expires_at FROM kv_log",
+        "stream_expiring": "SELECT cf, key, seq, value, CASE WHEN op = 'del' THEN 'deleted' ELSE 'live' END AS state FROM latest UNION ALL SELECT cf, key, seq, value, 'expired' FROM latest WHERE expires_at > 0 AND expires_at <= (SELECT max(epoch_us(ts) // 1000) FROM events)",
+        "store_reopened": f"SELECT * FROM live l WHERE {uncovered.format('')}",
+        "store_vacuumed": f"SELECT * FROM live l WHERE {uncovered.format('')}",
+        "store_range_deleted": f"SELECT * FROM live l WHERE {uncovered.format('')} AND NOT (cf = 'default' AND key >= 'user:0010' AND key < 'user:0020')",
+        "store_ttl": f"SELECT * FROM live l WHERE {uncovered.format('')} AND NOT (cf = 'default' AND key IN ('user:0042:1', 'user:0042:2', 'user:0042:3')) UNION ALL SELECT 'default', 'user:0042:1', max(seq) + 1, 'later' FROM kv_log UNION ALL SELECT 'default', 'user:0042:3', max(seq) + 3, 'never' FROM kv_log",
+        "store_transactions": f"SELECT *, true AS refused FROM live l WHERE {uncovered.format('')} AND NOT (cf = 'default' AND key IN ('user:0042:1', 'user:0042:2')) UNION ALL SELECT 'default', 'user:0042:1', max(seq) + 1, 'final', true FROM kv_log",
+        "store_stats": "SELECT cf, count(*) AS n_records, count(DISTINCT key) AS n_keys, CAST(sum(CASE WHEN op = 'del' THEN 1 ELSE 0 END) AS BIGINT) AS n_tombstones, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 16) AS BIGINT) AS n_bytes, max(seq) AS max_seq FROM kv_log GROUP BY cf",
+        "store_scan": f"SELECT * FROM live l WHERE {uncovered.format('')} AND cf = 'default' AND key >= 'user:0010' AND key < 'user:0020'",
+        "snapshot_prefix": f"SELECT * FROM live l WHERE {uncovered.format('')} AND cf = 'default' AND starts_with(key, 'user:0042:')",
+        "compacted_log": "SELECT cf, key, seq, op, value FROM latest WHERE op <> 'del' AND (expires_at = 0 OR 1706659200000 < expires_at)",
+        "merge_layers": "SELECT cf, key, seq, CASE WHEN seq > 700 THEN 0 WHEN seq > 200 THEN 1 ELSE 2 END AS source_id, value FROM latest",
+        "fold_counter": "SELECT cf, key, CAST(sum(CASE WHEN op = 'del' THEN -1 ELSE 1 END) AS BIGINT) AS n FROM kv_log GROUP BY cf, key",
         "fold_string_append": "SELECT cf, key, string_agg(value, ',' ORDER BY seq) AS value FROM kv_log WHERE op = 'put' GROUP BY cf, key",
         "merge_counter_partial": "SELECT cf, key, CAST(sum(CASE WHEN op = 'del' THEN -1 ELSE 1 END) AS BIGINT) AS n FROM kv_log GROUP BY cf, key",
         "function_filter": "SELECT cf, key, seq, CASE WHEN key LIKE '%:4' THEN value || '!' ELSE value END AS value FROM latest WHERE value IS NULL OR NOT (starts_with(value, 'view') AND key LIKE '%:3')",
