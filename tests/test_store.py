@@ -229,3 +229,14 @@ def test_state_that_expires(spark, tmp_path):
         q.awaitTermination()
     assert ("k", 1, "live") in seen and ("k", 1, "expired") in seen and ("p", 2, "live") in seen and ("p", 4, "deleted") in seen and ("q", 5, "live") in seen
     assert not any(key == "p" and seq == 1 for key, seq, _ in seen)
+
+
+def test_lookups_in_files_with_a_dictionary(spark, store):
+    """An equality on a key is tested against the compressed dictionary of its files, and must find what is there."""
+    keys = spark.range(4000).select(F.lit("default").alias("cf"), F.format_string("user:%04d:%d", F.col("id") % 500, F.col("id") % 7).alias("key"), F.lit("put").alias("op"), F.concat(F.lit("v#"), F.col("id").cast("string")).alias("value"), F.lit(0).cast("long").alias("expires_at"))
+    store.write_frame(keys.coalesce(1).withColumn("ord", F.expr("cast(substring(value, 3) as int)")))
+    want = max(i for i in range(4000) if i % 500 == 42 and i % 7 == 0)
+    assert store.get("user:0042:0") == f"v#{want}"
+    assert store.get("user:0042:9") is None
+    store.compact()
+    assert store.get("user:0042:0") == f"v#{want}"

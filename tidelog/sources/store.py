@@ -134,7 +134,7 @@ class Store:
         folder = f"{kind}/batch=b{uuid.uuid4().hex}"
         out = rows.write if kind == "range_del" else with_crc(rows).sortWithinPartitions("cf", "key", "seq", "ord").write.partitionBy("cf")
         if kind != "range_del":
-            out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.expected.ndv#key", str(self.expected_keys)).option("compression", "lz4_raw")
+            out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.expected.ndv#key", str(self.expected_keys)).option("compression", "zstd")
         out.parquet(f"{self.path}/{folder}")
         return folder
 
