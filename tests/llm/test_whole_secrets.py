@@ -3,7 +3,9 @@ import bz2
 import gzip
 import hashlib
 import random
+import sys
 import time
+import types
 import zlib
 
 import pytest
@@ -105,3 +107,107 @@ def test_nested_encodings_against_their_construction():
         spans = secretscan.find(f"see {inner} here").spans
         whole = [(a, b) for k, a, b in spans if k == "assign"]
         assert whole and min(a for a, _ in whole) == 4 and max(b for _, b in whole) in ((4 + len(inner),) if exact else (4 + len(inner), 4 + len(inner.rstrip("="))))
+
+
+def packed(data):
+    """By kind; words before the data make Zstandard compress it."""
+    zstandard = pytest.importorskip("zstandard")
+    return {"gzip": gzip.compress(data, mtime=0), "zlib": zlib.compress(data), "bzip2": bz2.compress(data), "zstd": zstandard.ZstdCompressor(write_checksum=True).compress(data)}
+
+
+def flipped(data, k):
+    return data[:k] + bytes([data[k] ^ 255]) + data[k + 1 :]
+
+
+WORDY = noise(60) + b"\n" + SECRET.encode()
+
+
+@pytest.mark.parametrize("kind, at", [("gzip", -8), ("gzip", -1), ("zlib", -1), ("bzip2", -2), ("bzip2", 12), ("zstd", -1)])
+def test_wrong_checksums_are_told_and_hide_nothing(kind, at):
+    data = packed(WORDY + b"\n")[kind]
+    text = "see " + base64.b64encode(flipped(data, at if at > 0 else len(data) + at)).decode()
+    found = secretscan.find(text)
+    assert ("assign", 4, len(text)) in found.spans and found.broken == [(4, len(text))]
+    assert secretscan.find(base64.b64encode(data).decode()).broken == []
+
+
+@pytest.mark.parametrize("kind", ["gzip", "zlib", "bzip2", "zstd"])
+def test_broken_data_give_what_is_before_the_break(kind):
+    r = random.Random(4)
+    data = packed(SECRET.encode() + b"\n" + bytes(r.choice(b"ABC DEF,") for _ in range(2_000_000)))[kind]
+    for broken in (data[:-9000], flipped(data, len(data) - 9000), data[:-9000] + b"\xff" * 20):
+        ends = []
+        got = b"".join(secretscan._inflate(broken, ends))
+        assert ends == [False] and got.startswith(SECRET.encode()) and len(got) > 800_000
+    plain = base64.b64encode(packed(b"first")[kind][:-1] + b"\n\xff" + SECRET.encode()).decode()
+    found = secretscan.find(plain)
+    assert ("assign", 0, len(plain)) in found.spans and found.broken == [(0, len(plain))]
+
+
+def test_what_follows_a_frame():
+    frame, skippable = packed(WORDY)["zstd"], b"\x50\x2a\x4d\x18\x04\0\0\0note"
+    first = packed(noise(40))["zstd"]
+    for data in (frame + b" and plain words", frame + b"\0" * 9, first + b"\0" * 9 + frame, first + gzip.compress(WORDY, mtime=0), first + skippable + frame, skippable + frame, first + SECRET.encode()):
+        text = base64.b64encode(data).decode()
+        found = secretscan.find(text)
+        assert ("assign", 0, len(text)) in found.spans and found.broken == []
+
+
+def test_wide_windows():
+    zstandard = pytest.importorskip("zstandard")
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28, write_content_size=False)).compressobj()
+    text = base64.b64encode(wide.compress(WORDY) + wide.flush()).decode()
+    found = secretscan.find(text)
+    assert ("assign", 0, len(text)) in found.spans and found.broken == []
+
+
+def test_faults_of_the_machine_are_errors(monkeypatch):
+    data = packed(WORDY)
+    text = {k: base64.b64encode(x).decode() for k, x in data.items()}
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with pytest.raises(ImportError):
+        secretscan.find(text["zstd"])
+
+    def decoder(error):
+        def decompress(*_):
+            raise error
+
+        return lambda *_: types.SimpleNamespace(decompress=decompress)
+
+    for error in (MemoryError(), zlib.error("Error -4 while decompressing data")):
+        monkeypatch.setattr(secretscan.zlib, "decompressobj", decoder(error))
+        with pytest.raises(MemoryError):
+            secretscan.find(text["gzip"])
+    monkeypatch.setattr(secretscan.bz2, "BZ2Decompressor", decoder(MemoryError()))
+    with pytest.raises(MemoryError):
+        secretscan.find(text["bzip2"])
+
+
+def test_regions_that_are_told_as_broken():
+    good = gzip.compress(WORDY, mtime=0)
+    bad = flipped(good, len(good) - 8)
+    run = base64.b64encode(good).decode()
+    assert secretscan.find(f"See below:\n{wrap(good)}\nRegards").broken == []  # its lines are no regions
+    assert secretscan.find(run.replace("+", "%2B").replace("/", "%2F").replace("=", "%3D")).broken == []  # nor are its parts
+    two = f"a:\n{wrap(good)}\n{wrap(bad)}"
+    assert secretscan.find(two).broken == [(len(two) - len(wrap(bad)), len(two))]
+    text = "x " + base64.b64encode(b"see " + base64.b64encode(bad)).decode()
+    assert secretscan.find(text).broken == [(2, len(text))]
+    text = base64.b64encode(gzip.compress(bad, mtime=0)).decode()
+    assert secretscan.find(text).broken == [(0, len(text))]
+
+
+def test_broken_regions_in_the_rows(spark):
+    data = packed(WORDY)["gzip"]
+    texts = ["plain", base64.b64encode(data).decode(), "a " + base64.b64encode(data[:-12]).decode(), None]
+    rows = secretscan.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.broken for r in rows] == ["", "", f"2:{len(texts[2])}", ""]
+
+
+def test_a_long_run_beside_a_line_break():
+    began = time.time()
+    data = gzip.compress(b"A" * 1_000_000 + b" " + SECRET.encode(), mtime=0)
+    text = base64.b64encode(flipped(data, len(data) - 8)).decode()
+    found = secretscan.find(text)
+    assert ("assign", 0, len(text)) in found.spans and found.broken == [(0, len(text))]
+    assert time.time() - began < 30

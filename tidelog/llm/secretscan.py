@@ -13,6 +13,10 @@ unwraps to is read in pieces of about ``PIECE`` characters, cut where no encoded
 characters before it; so no amount of data is too much, and what is held is a piece and the longest encoded region in it.
 Compressed data inside compressed data is held whole.
 
+Compressed data that is damaged or cut off gives all that decodes before the byte at which it breaks, and what follows is read as it
+is. Such regions are listed in ``broken``, so that no text passes for one without secrets because it couldn't be read. Any other fault
+(a decoder that isn't installed, no memory) is an error of the job.
+
 Defined results: null is an empty text; without matches the digests are those of the empty string and spans is ''; each row
 is scanned by itself, so repeated rows and extra columns change nothing.
 """
@@ -25,11 +29,12 @@ import bz2
 import codecs
 import hashlib
 import html
-import io
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,13 +48,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_VALUE, MIN_ACCESS = 8, 16
 
-#: Characters of a decoded layer that are scanned at once, and how many before them are seen again; bytes that are inflated at once.
-PIECE, OVERLAP, BLOCK = 4_000_000, 4096, 1 << 20
+#: Characters of a decoded layer that are scanned at once, and how many before them are seen again.
+PIECE, OVERLAP = 4_000_000, 4096
+#: Bytes that a decoder takes and gives at once. Where it breaks, what the call before gave is followed by calls of the next sizes.
+STEPS = ((1 << 16, 1 << 20), (1 << 10, 1 << 13), (1 << 5, 1 << 7), (1, 1))
+#: The widest window that Zstandard can decode; a frame that states a window takes memory as it is filled.
+MOST_WINDOW = 1 << 31
+PADDING = re.compile(rb"\0*")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-z]{2,6};")
 LONGEST_ESCAPE = 10
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 WRAPPED_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: Where a layer may be cut: a character of no encoded region.
 CUT = re.compile(r"[^A-Za-z0-9+/_=\\%&;#{}\r\n \t-]")
@@ -72,6 +82,7 @@ class Layer:
     end: int
     places: list[tuple[int, int]] | None = None
     stepped: str = ""  # the kind of escapes that it is decoded from; those it still has are decoded beside it
+    inner: bool = False  # under a base64 region, to which all its places are mapped
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.places is None:
@@ -84,48 +95,123 @@ class Found:
     base: list[tuple[str, int, int]] = field(default_factory=list)
     spans: list[tuple[str, int, int]] = field(default_factory=list)
     layers: int = 0
+    broken: list[tuple[int, int]] = field(default_factory=list)
 
 
-def _compressed(data: bytes) -> str | None:
-    """The format that the first bytes tell."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        return "zlib"
-    return "bzip2" if data[:3] == b"BZh" else "zstd" if data[:4] == b"\x28\xb5\x2f\xfd" else None
+class _Broken(Exception):
+    """Data that begins as compressed data but doesn't decode to its end."""
 
 
-def _inflate(data: bytes) -> Iterator[bytes]:
-    """What compressed data unwraps to, in blocks: all members or streams, and what else follows them. Nothing if it is broken from the start."""
-    some = False
-    while data and (kind := _compressed(data)):
+def _compressed(data: bytes, at: int = 0) -> str | None:
+    """The format that the first bytes tell."""
+    head = data[at : at + 4]
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and (head[0] << 8 | head[1]) % 31 == 0):
+        return "zlib"
+    if head[:3] == b"BZh":
+        return "bzip2"
+    if head[1:] == b"\x2a\x4d\x18" and head[0] >> 4 == 5:
+        return "skippable"
+    return "zstd" if head == b"\x28\xb5\x2f\xfd" else None
+
+
+def _stream(kind: str, data: bytes, at: int) -> Iterator[bytes]:
+    """What the zlib or bzip2 stream at a place gives, in blocks; returns where it ends.
+
+    A decoder that breaks keeps back what its last call had decoded. The stream is then read again with the calls that went well and
+    smaller ones after them. Of a bzip2 block of a wrong checksum the very last byte isn't to be had from the decoder.
+    """
+    went: list[tuple[int, int]] = []
+    done, last = 0, bytearray()
+    for step in STEPS:
+        stream = zlib.decompressobj(47) if kind == "zlib" else bz2.BZ2Decompressor()
+        k, given = at, 0
         try:
-            if kind == "zstd":
-                import zstandard
-
-                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as r:
-                    while block := r.read(BLOCK):
-                        some = True
+            for call in count():
+                size, most = went[call] if call < len(went) else step
+                fed = data[k : k + size] if getattr(stream, "needs_input", True) else b""
+                block = stream.decompress(fed, most)
+                if call == len(went):
+                    went.append(step)
+                k += len(fed) - len(getattr(stream, "unconsumed_tail", b""))
+                given += len(block)
+                if given > done:
+                    done = given
+                    if step is STEPS[0]:
                         yield block
-                return
-            stream = zlib.decompressobj(47) if kind == "zlib" else bz2.BZ2Decompressor()
-            block = stream.decompress(data, BLOCK)
-            while True:
-                if block:
-                    some = True
-                    yield block
+                    else:
+                        last += block
                 if stream.eof:
-                    break
-                left = stream.unconsumed_tail if kind == "zlib" else b""
-                block = stream.decompress(left, BLOCK)
-                if not block and not stream.eof and not left:
-                    return  # cut off
-            data = stream.unused_data.lstrip(b"\0")  # files may be padded
-        except Exception:  # any decoder's error means only that this isn't its format, or that it breaks off here
-            return
-    if some and data:
-        yield data
+                    return k - len(stream.unused_data)
+                if not block and not fed:
+                    raise _Broken
+        except (zlib.error, OSError) as e:  # bzip2's is an OSError
+            if str(e).startswith("Error -4 "):
+                raise MemoryError(str(e)) from e
+    if last:
+        yield bytes(last)
+    raise _Broken
 
 
-def _contents(data: bytes) -> Iterator[bytes]:
+def _frame(data: bytes, at: int) -> Iterator[bytes]:
+    """What the Zstandard frame at a place gives, block by block; returns where it ends."""
+    import zstandard
+
+    try:
+        head = data[at : at + 18]
+        k, checksum = at + zstandard.frame_header_size(head), zstandard.get_frame_parameters(head).has_checksum
+        stream = zstandard.ZstdDecompressor(max_window_size=MOST_WINDOW).decompressobj()
+        last = False
+        while not last:
+            x = int.from_bytes(data[k : k + 3], "little")
+            last, size = bool(x & 1), 1 if x >> 1 & 3 == 1 else x >> 3
+            k += 3 + size
+            if block := stream.decompress(data[at:k]):
+                yield block
+            if k > len(data):
+                raise _Broken
+            at = k
+        if checksum:
+            k += 4
+            if block := stream.decompress(data[at:k]):
+                yield block
+    except zstandard.ZstdError as e:
+        if "not enough memory" in str(e):
+            raise MemoryError(str(e)) from e
+        raise _Broken from e
+    if k > len(data):
+        raise _Broken
+    return k
+
+
+def _inflate(data: bytes, ends: list[bool]) -> Iterator[bytes]:
+    """What compressed data unwraps to, in blocks: all members or streams, and what else follows them, or from the one on that breaks.
+
+    To ``ends`` goes for each of them whether it was whole.
+    """
+    at, aside = 0, []
+    while at < len(data) and (kind := _compressed(data, at)):
+        try:
+            if kind == "skippable":  # no part of the content, so it comes after it
+                end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+                if end > len(data):
+                    raise _Broken
+                aside += [b"\n", data[at + 8 : end]]
+            else:
+                end = yield from _frame(data, at) if kind == "zstd" else _stream(kind, data, at)
+        except _Broken:
+            ends.append(False)
+            yield b"\n" + data[at:]
+            at = len(data)
+            break
+        ends.append(True)
+        at = PADDING.match(data, end).end()  # files may be padded
+    if at < len(data):
+        yield data[at:]
+    if aside:
+        yield b"".join(aside)
+
+
+def _contents(data: bytes, ends: list[bool]) -> Iterator[bytes]:
     """The innermost content of data that may be compressed, any number of times."""
     seen = set()
     while _compressed(data):
@@ -133,7 +219,7 @@ def _contents(data: bytes) -> Iterator[bytes]:
         if mark in seen:
             return
         seen.add(mark)
-        blocks = _inflate(data)
+        blocks = _inflate(data, ends)
         first = next(blocks, None)
         if first is None:
             break
@@ -161,33 +247,34 @@ def _decoded(blocks: Iterator[bytes]) -> Iterator[str]:
 
 def _pieces(texts: Iterator[str]) -> Iterator[str]:
     """Texts that follow each other as pieces of about PIECE characters, each with the end of the one before."""
-    held = ""
+    held, sought = "", PIECE
     for text in texts:
         held += text
-        while len(held) > PIECE:
-            cut = CUT.search(held, PIECE)
+        while len(held) > sought:
+            cut = CUT.search(held, sought)
             if cut is None:
+                sought = len(held)
                 break
             yield held[: cut.end()]
-            held = held[cut.end() - OVERLAP :]
+            held, sought = held[cut.end() - OVERLAP :], PIECE
     if held:
         yield held
 
 
-def _texts(data: bytes) -> Iterator[str]:
-    yield from _pieces(_decoded(_contents(data)))
+def _texts(data: bytes, ends: list[bool]) -> Iterator[str]:
+    yield from _pieces(_decoded(_contents(data, ends)))
     if data.count(0) >= len(data) // 4 > 0:
         yield data.decode("utf-16-le", "replace")
 
 
-def _unbase64(run: str) -> Iterator[str]:
+def _unbase64(run: str, ends: list[bool]) -> Iterator[str]:
     core = run.rstrip("=")
     if len(core) % 4 != 1:
         try:
             data = base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
         except (binascii.Error, ValueError):
             return
-        yield from _texts(data)
+        yield from _texts(data, ends)
 
 
 def _wrapped(text: str) -> Iterator[tuple[str, int, int]]:
@@ -303,25 +390,58 @@ def _lines(text: str, pattern: re.Pattern) -> Iterator[tuple[int, str]]:
         at = end
 
 
-def unwrap(layer: Layer) -> Iterator[Layer]:
-    """The layers below, one by one: of each line with escapes that of one step and that of all steps, and those of each base64 region."""
+def _broken(regions: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """The regions that aren't whole, as one where they overlap, but for those that overlap a whole one: there the same characters
+    are read in several ways, as the lines of a wrapped block are by themselves and together."""
+    whole = sorted((a, b) for a, b, ok in regions if ok)
+    reach = list(accumulate((b for _, b in whole), max))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for a, b, ok in regions if not ok):
+        k = bisect_left(whole, (b,))
+        if k and reach[k - 1] > a:
+            continue
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def unwrap(layer: Layer, outer: list[tuple[int, int, bool]], inner: list[tuple[int, int, bool]]) -> Iterator[Layer]:
+    """The layers below, one by one: of each line with escapes that of one step and that of all steps, and those of each base64 region.
+
+    Compressed regions are noted by their place in the text, with whether they are whole: in ``outer``, or in ``inner`` the broken
+    ones under a base64 region, where the place doesn't tell which overlap.
+    """
     text = layer.text
     for mark, pattern, decode in (("%", PERCENT, _unpercent), ("\\", ESCAPE, _unescape)):
         if layer.stepped == mark or (mark == "%" and "%" not in text) or (mark != "%" and "\\" not in text and "&" not in text):
             continue
         for start, line in _lines(text, pattern):
             for whole in (False, True):
-                inner, places = decode(line, whole)
-                yield Layer(inner, *layer.span(start, start + len(line)), [layer.span(start + a, start + b) for a, b in places], mark)
-                if not pattern.search(inner):
+                decoded, places = decode(line, whole)
+                yield Layer(decoded, *layer.span(start, start + len(line)), [layer.span(start + a, start + b) for a, b in places], mark, layer.inner)
+                if not pattern.search(decoded):
                     break
+    regions = []
+    for run, a, b in _runs(text):
+        ends: list[bool] = []
+        for decoded in _unbase64(run, ends):
+            yield Layer(decoded, *layer.span(a, b), inner=True)
+        if ends:
+            regions.append((a, b, all(ends)))
+    if layer.inner:
+        inner.extend((*layer.span(a, b), False) for a, b in _broken(regions))
+    else:
+        outer.extend((*layer.span(a, b), ok) for a, b, ok in regions)
+
+
+def _runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """(run, start, end) of what may be base64, in a line or over lines."""
     for m in BASE64.finditer(text):
-        for inner in _unbase64(m[0]):
-            yield Layer(inner, *layer.span(*m.span()))
+        yield m[0], *m.span()
     if "\n" in text:
-        for run, a, b in _wrapped(text):
-            for inner in _unbase64(run):
-                yield Layer(inner, *layer.span(a, b))
+        yield from _wrapped(text)
 
 
 def find(text: str | None) -> Found:
@@ -331,7 +451,9 @@ def find(text: str | None) -> Found:
     rank = lambda s: (s[1], order[s[0]], s[2])
     base = sorted(scan(text), key=rank)
     more: set[tuple[str, int, int]] = set()
-    todo = [unwrap(Layer(text, 0, len(text), _Same()))]  # what is still to come of each layer on the way down
+    outer: list[tuple[int, int, bool]] = []
+    inner: list[tuple[int, int, bool]] = []
+    todo = [unwrap(Layer(text, 0, len(text), _Same()), outer, inner)]  # what is still to come of each layer on the way down
     seen: set[tuple[int, int, bytes]] = set()
     n = 0
     while todo:
@@ -346,8 +468,9 @@ def find(text: str | None) -> Found:
         n += 1
         for kind, a, b in scan(layer.text):
             more.add((kind, *layer.span(a, b)))
-        todo.append(unwrap(layer))
-    return Found(base, sorted(more.union(base), key=rank), n)
+        todo.append(unwrap(layer, outer, inner))
+    broken = _broken([*((a, b, False) for a, b in _broken(outer)), *inner])
+    return Found(base, sorted(more.union(base), key=rank), n, broken)
 
 
 class _Same:
@@ -374,12 +497,14 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 "base_sha256": [hashlib.sha256(joined(f.base).encode()).hexdigest() for f in found],
                 "spans": [joined(f.spans) for f in found],
                 "n_layers": [f.layers for f in found],
+                "broken": [",".join(f"{a}:{b}" for a, b in f.broken) for f in found],
             }
         )
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layers (distinct layers unwrapped)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layers (distinct layers unwrapped), broken (start:end of encoded
+    regions whose compressed data doesn't decode to its end, comma-joined)."""
     ship(docs.sparkSession)
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, broken string"
     return docs.select("doc_id", "text").mapInArrow(_scan_batches, schema)
